@@ -91,9 +91,7 @@ def labeled_topic_read(spark, folder):
     ),
 )
 def stage_router(spark, folder):
-    processed, training = topics.route(valid(spark, folder))
-    tagged = [t.select("offset_no", "_id", F.lit(n).alias("topic")) for t, n in ((processed, "processed"), (training, "training"))]
-    return tagged[0].unionByName(tagged[1])
+    return topics.route(valid(spark, folder)).select("offset_no", "_id", "topic")
 
 
 STORED = "processed training predictions labeled".split()
@@ -280,9 +278,8 @@ staged as (select 'raw' as stage, value, record_ts from judged where json_valid(
 )
 def stage_samples(spark, folder):
     raw = ql.readable_messages(raw_messages(spark, folder)).withColumn("stage", F.lit("raw"))
-    good = valid(spark, folder)
-    processed, training = topics.route(good)
-    staged = sinks.union_topics(raw, processed.withColumn("stage", F.lit("processed")), training.withColumn("stage", F.lit("training")))
+    routed = topics.route(valid(spark, folder)).withColumnRenamed("topic", "stage")
+    staged = sinks.union_topics(raw, routed)
     found = sv.stage_samples(staged.withColumn("timestamp", F.col("record_ts")))
     return found.select(
         "stage", "_id", "timestamp", F.size("sequence").cast("long").alias("packets"), F.size("human_readable").cast("long").alias("records")

@@ -90,7 +90,7 @@ def embedding_errors(spark, folder):
     rows = table(spark, folder, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
     parts = rows.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    centre = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+    centre = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c"))
     joined = rows.join(centre, "label").withColumn("c", F.transform("c", lambda e: e["m"]))
     return joined.withColumn("reconstruction_error", losses.mean_smooth_l1(F.col("embedding"), F.col("c")))
 

@@ -15,15 +15,20 @@ MAX_16_BIT = 65535
 HALF_BYTE_RANGE = 127.5
 HALF_FLAG_RANGE = 3.5
 ABSENT = -1.0
+OCTET = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
+
+
+def is_ipv4(ip: Column) -> Column:
+    return ip.rlike(IPV4)
 
 
 def ipv4_number(ip: Column) -> Column:
-    """Dotted IPv4 text as a number; null unless it is four parts of 0..255."""
-    parts = [F.split_part(ip, F.lit("."), F.lit(i)).try_cast("long") for i in range(1, 5)]
-    well_formed = ip.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$")
-    in_range = (parts[0] < 256) & (parts[1] < 256) & (parts[2] < 256) & (parts[3] < 256)
-    number = ((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
-    return F.when(well_formed & in_range, number)
+    """Dotted IPv4 text as a number; null for any other text."""
+    number = F.aggregate(
+        F.split(ip, r"\."), F.lit(0).cast("long"), lambda total, part: total * 256 + part.try_cast("long")
+    )
+    return F.when(is_ipv4(ip), number)
 
 
 def ip_scaled(ip: Column) -> Column:
@@ -80,8 +85,8 @@ def feature_columns() -> dict[str, Column]:
 def has_all_fields() -> Column:
     """True when no header field needed by the packet's protocol is missing or unreadable."""
     common = (
-        ipv4_number(F.col("src_ip")).isNotNull()
-        & ipv4_number(F.col("dst_ip")).isNotNull()
+        is_ipv4(F.col("src_ip"))
+        & is_ipv4(F.col("dst_ip"))
         & F.col("ip_len").isNotNull()
         & F.col("ip_flags").isNotNull()
         & F.col("ttl").isNotNull()

@@ -14,7 +14,7 @@ def open_ports(packets: DataFrame) -> DataFrame:
     return (
         syn_ack_replies(packets)
         .groupBy("src_ip")
-        .agg(F.array_sort(F.collect_set("src_port")).alias("ports"), F.count("*").alias("replies"))
+        .agg(F.sort_array(F.collect_set("src_port")).alias("ports"), F.count("*").alias("replies"))
     )
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from netweave.plans.once import computed_once
 from netweave.schemas import FEATURE_COUNT, MESSAGE, RAW_KEYS, SCORING_KEYS, SEQUENCE_LENGTH
 
 # A corrupt record is kept beside the parsed fields, so a broken message is told
 # apart from one whose fields are all null.
-PARSED = MESSAGE.add("_corrupt_record", "string")
+PARSED = T.StructType([*MESSAGE.fields, T.StructField("_corrupt_record", T.StringType())])
 JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -21,10 +23,14 @@ def is_json_object(value: Column) -> Column:
     return F.json_object_keys(value).isNotNull()
 
 
+def includes_keys(present: Column, keys: list[str]) -> Column:
+    wanted = F.array(*[F.lit(k) for k in keys])
+    return F.coalesce(F.size(F.array_except(wanted, present)) == 0, F.lit(False))
+
+
 def has_keys(value: Column, keys: list[str]) -> Column:
     """All keys are present; a present key may hold null. False for broken JSON."""
-    wanted = F.array(*[F.lit(k) for k in keys])
-    return F.coalesce(F.size(F.array_except(wanted, F.json_object_keys(value))) == 0, F.lit(False))
+    return includes_keys(F.json_object_keys(value), keys)
 
 
 def right_length(sequence: Column, length: int = SEQUENCE_LENGTH) -> Column:
@@ -52,10 +58,10 @@ def batch_shape(sequence: Column) -> Column:
 
 
 def raw_reason() -> Column:
-    """Why a raw message is refused, or null. Needs ``value`` and the parsed ``doc``."""
+    """Why a raw message is refused, or null. Needs the parsed ``doc`` and its ``keys``."""
     return (
-        F.when(~is_json_object(F.col("value")), "malformed")
-        .when(~has_keys(F.col("value"), RAW_KEYS), "missing_key")
+        F.when(F.col("keys").isNull(), "malformed")
+        .when(~includes_keys(F.col("keys"), RAW_KEYS), "missing_key")
         .when(F.col("doc._corrupt_record").isNotNull(), "bad_type")
         .when(~right_length(F.col("doc.sequence")), "sequence_length")
         .when(~parallel(F.col("doc.sequence"), F.col("doc.human_readable")), "parallel_length")
@@ -64,23 +70,32 @@ def raw_reason() -> Column:
 
 def scoring_reason() -> Column:
     return (
-        F.when(~is_json_object(F.col("value")), "malformed")
-        .when(~has_keys(F.col("value"), SCORING_KEYS), "missing_key")
+        F.when(F.col("keys").isNull(), "malformed")
+        .when(~includes_keys(F.col("keys"), SCORING_KEYS), "missing_key")
         .when(F.col("doc._corrupt_record").isNotNull(), "bad_type")
         .when(~right_length(F.col("doc.sequence")), "sequence_length")
         .when(~batch_shape(F.col("doc.sequence")), "batch_shape")
     )
 
 
+def parsed(messages: DataFrame) -> DataFrame:
+    """Each message parsed once: ``doc`` and the key names, null for broken JSON."""
+    value = F.col("value")
+    return computed_once(messages, doc=parse_message(value), keys=F.json_object_keys(value))
+
+
 def checked(messages: DataFrame, reason: Column) -> DataFrame:
-    """Parsed message and reason in one pass; filter on ``reason`` for either side."""
-    return messages.withColumn("doc", parse_message(F.col("value"))).withColumn("reason", reason)
+    """Parsed message and reject reason in one pass; filter on ``reason`` for either side."""
+    return parsed(messages).withColumn("reason", reason)
+
+
+def _fields(log: DataFrame) -> list[Column | str]:
+    kept = [c for c in log.columns if c not in ("value", "doc", "keys", "reason")]
+    return [*kept, *[F.col(f"doc.{f.name}").alias(f.name) for f in MESSAGE.fields if f.name not in kept]]
 
 
 def valid_messages(log: DataFrame) -> DataFrame:
-    kept = [c for c in log.columns if c not in ("value", "doc", "reason")]
-    fields = [F.col(f"doc.{f.name}").alias(f.name) for f in MESSAGE.fields if f.name != "_corrupt_record"]
-    return log.filter(F.col("reason").isNull()).select(*kept, *fields)
+    return log.filter(F.col("reason").isNull()).select(*_fields(log))
 
 
 def rejected_messages(log: DataFrame, source: str) -> DataFrame:
@@ -91,8 +106,8 @@ def rejected_messages(log: DataFrame, source: str) -> DataFrame:
 
 def readable_messages(messages: DataFrame) -> DataFrame:
     """Bounded read of a topic: every message that is JSON, parsed; the rest is skipped."""
-    parsed = messages.filter(is_json_object(F.col("value"))).withColumn("doc", parse_message(F.col("value")))
-    return parsed.select(*[c for c in messages.columns if c != "value"], "doc.*").drop("_corrupt_record")
+    log = parsed(messages)
+    return log.filter(F.col("keys").isNotNull()).select(*_fields(log))
 
 
 def reset_defaults(valid: DataFrame, processed_at: Column) -> DataFrame:

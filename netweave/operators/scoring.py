@@ -12,9 +12,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def mean_model(training: DataFrame) -> DataFrame:
     rows = training.select(F.posexplode("sequence").alias("pos", "row"))
     means = F.array(*[F.avg(F.get("row", F.lit(j))) for j in range(FEATURE_COUNT)])
     by_position = rows.groupBy("pos").agg(means.alias("mean"))
-    matrix = F.array_sort(F.collect_list(F.struct("pos", "mean")))
+    matrix = F.sort_array(F.collect_list(F.struct("pos", "mean")))
     return by_position.agg(F.transform(matrix, lambda e: e["mean"]).alias("reconstruction"))
 
 
@@ -83,13 +84,15 @@ class SubspaceModel:
 def fit_subspace(training: DataFrame, rank: int) -> SubspaceModel:
     """Fit on ``training.sequence``; the covariance is summed by Spark, 192 x 192 reaches the driver."""
     flat = training.select(array_to_vector(F.flatten("sequence")).alias("x"))
-    from pyspark.ml.stat import Summarizer
-
-    mean = np.array(flat.select(Summarizer.mean(F.col("x")).alias("m")).first()["m"].toArray())
-    if rank == 0:
-        return SubspaceModel(mean, np.zeros((len(mean), 0)))
-    fitted = PCA(k=rank, inputCol="x", outputCol="y").fit(flat)
-    return SubspaceModel(mean, fitted.pc.toArray(), [float(v) for v in fitted.explainedVariance.toArray()])
+    flat = flat.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        mean = np.array(flat.select(Summarizer.mean(F.col("x")).alias("m")).first()["m"].toArray())
+        if rank == 0:
+            return SubspaceModel(mean, np.zeros((len(mean), 0)))
+        fitted = PCA(k=rank, inputCol="x", outputCol="y").fit(flat)
+        return SubspaceModel(mean, fitted.pc.toArray(), [float(v) for v in fitted.explainedVariance.toArray()])
+    finally:
+        flat.unpersist()
 
 
 def score_by_subspace(sequences: DataFrame, model: SubspaceModel) -> DataFrame:

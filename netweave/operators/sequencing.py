@@ -147,7 +147,7 @@ def assemble(placed: DataFrame, rule: SequenceRule) -> DataFrame:
         .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
         .groupBy(*SEQUENCE)
         .agg(
-            F.array_sort(F.collect_list(item)).alias("_items"),
+            F.sort_array(F.collect_list(item)).alias("_items"),
             (span / (rule.length - 1)).alias("mean_gap"),
             F.max_by("is_training", "pos").alias("is_training"),
             F.max_by("ts", "pos").alias("ts"),
@@ -207,7 +207,7 @@ def quartile_params(matrix: Column, n: int) -> Column:
             quantile_of_sorted(ordered, n, 0.5).alias("median"), guard_spread(spread).alias("iqr")
         )
 
-    columns = F.array(*[F.array_sort(column_of(matrix, j)) for j in range(FEATURE_COUNT)])
+    columns = F.array(*[F.sort_array(column_of(matrix, j)) for j in range(FEATURE_COUNT)])
     return F.transform(columns, median_and_spread)
 
 
@@ -323,7 +323,7 @@ def latest_sequence(rows: DataFrame, rule: SequenceRule, item: Column, name: str
     )
     return (
         last.groupBy("sensor_id")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("at"), item.alias("item")))).alias("_s"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("at"), item.alias("item")))).alias("_s"))
         .select(
             "sensor_id",
             F.when(F.size("_s") == rule.length, F.transform("_s", lambda e: e["item"])).alias(name),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweave.operators.quality import is_json_object, parse_message
+from netweave.operators.quality import parsed
 
 
 def union_topics(*topics: DataFrame) -> DataFrame:
@@ -41,10 +41,8 @@ def sink_fields(messages: DataFrame) -> DataFrame:
 
 def tolerant(messages: DataFrame) -> DataFrame:
     """Parse each message; broken ones stay in the output with ``accepted`` false."""
-    doc = parse_message(F.col("value"))
-    return (
-        messages.withColumn("doc", doc)
-        .withColumn("accepted", is_json_object(F.col("value")) & F.col("doc._corrupt_record").isNull())
+    return parsed(messages).withColumn(
+        "accepted", F.col("keys").isNotNull() & F.col("doc._corrupt_record").isNull()
     )
 
 

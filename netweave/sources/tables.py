@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netweave.plans.once import computed_once
 from netweave.plans.ordering import ordinals
-from netweave.schemas import STAGES
+from netweave.schemas import PACKET, STAGES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def _props_number() -> Column:
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
     """One header row per event. ``proto`` is null when there is no IP layer."""
-    events = table(spark, folder, "events").withColumn("k", _props_number())
+    events = table(spark, folder, "events")
     kind, k, event_id = F.col("event_type"), F.col("k"), F.col("event_id")
     proto = (
         F.when(kind.isin("view", "click"), 6)
@@ -55,23 +56,25 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
     user = F.col("user_id")
     source = text("10.0.", (user % 3).cast("string"), ".", (user % 256).cast("string"))
     target = text("192.168.", (k % 4).cast("string"), ".", (1 + k % 7).cast("string"))
-    return events.withColumn("proto", proto.cast("int")).select(
+    placed = computed_once(computed_once(events, k=_props_number()), proto=proto.cast("int"))
+    headers = dict(
+        src_ip=F.when(known, source),
+        dst_ip=F.when(known, target),
+        ip_len=F.when(known, 40 + size).cast("int"),
+        ihl=F.when(known, 5 - 3 * (k == 99).cast("int")).cast("int"),
+        ip_flags=F.when(known, (k % 4) * 2 % 8).cast("int"),
+        ttl=F.when(known, 32 + k).cast("int"),
+        src_port=F.when(has_ports, 1024 + (event_id * 7919) % 64512).cast("int"),
+        dst_port=F.when(has_ports, service_port).cast("int"),
+        tcp_flags=F.when(is_tcp, flags).cast("int"),
+        tcp_window=F.when(is_tcp, (event_id * 131) % 65536).cast("int"),
+        udp_len=F.when(is_udp, 20 + size).cast("int"),
+        packet_size=F.when(known, 54 + size).otherwise(42).cast("int"),
+    )
+    return computed_once(placed, **headers).select(
         event_id.alias("packet_id"),
         text("s", (user % 4).cast("string")).alias("sensor_id"),
-        "ts",
-        F.when(known, source).alias("src_ip"),
-        F.when(known, target).alias("dst_ip"),
-        F.when(known, 40 + size).cast("int").alias("ip_len"),
-        F.when(known, 5 - 3 * (k == 99).cast("int")).cast("int").alias("ihl"),
-        F.when(known, (k % 4) * 2 % 8).cast("int").alias("ip_flags"),
-        F.when(known, 32 + k).cast("int").alias("ttl"),
-        "proto",
-        F.when(has_ports, 1024 + (event_id * 7919) % 64512).cast("int").alias("src_port"),
-        F.when(has_ports, service_port).cast("int").alias("dst_port"),
-        F.when(is_tcp, flags).cast("int").alias("tcp_flags"),
-        F.when(is_tcp, (event_id * 131) % 65536).cast("int").alias("tcp_window"),
-        F.when(is_udp, 20 + size).cast("int").alias("udp_len"),
-        F.when(known, 54 + size).otherwise(42).cast("int").alias("packet_size"),
+        *[f.name for f in PACKET.fields[2:]],
     )
 
 

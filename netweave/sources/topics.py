@@ -22,9 +22,15 @@ def to_topic(messages: DataFrame, record_ts: Column | None = None) -> DataFrame:
     return messages.select(F.col("_id").alias("key"), value.alias("value"), stamp.alias("record_ts"))
 
 
-def route(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every valid message is processed; the training ones go to the training topic too."""
-    return valid, valid.filter(F.col("is_training"))
+def route(valid: DataFrame) -> DataFrame:
+    """One row per message and target ``topic``: all are processed, training ones also train.
+
+    The messages are read once for both targets.
+    """
+    targets = F.when(F.col("is_training"), F.array(F.lit("processed"), F.lit("training"))).otherwise(
+        F.array(F.lit("processed"))
+    )
+    return valid.withColumn("topic", F.explode(targets))
 
 
 def write_topic(records: DataFrame, path: str) -> None:

@@ -37,12 +37,21 @@ def seconds(ts: Column) -> Column:
 def number_epochs(packets: DataFrame, rule: SequenceRule) -> DataFrame:
     """Arrival number per sensor over all packets, and the epoch it falls into."""
     placed = ordinals(packets, rule.order, "arrival", ["sensor_id"], rows_per_split=rule.rows_per_split)
-    return placed.withColumn("epoch", F.floor((F.col("arrival") - 1) / rule.reset_every).cast("long"))
+    return placed.withColumn("epoch", epoch_of(F.col("arrival"), rule))
+
+
+def epoch_of(arrival: Column, rule: SequenceRule) -> Column:
+    return F.floor((arrival - 1) / rule.reset_every).cast("long")
 
 
 def place_packets(packets: DataFrame, rule: SequenceRule) -> DataFrame:
     """Usable packets with sequence number and position; the incomplete tail is dropped."""
-    usable = number_epochs(packets, rule).filter(has_all_fields())
+    return place_in_epochs(number_epochs(packets, rule), rule)
+
+
+def place_in_epochs(numbered: DataFrame, rule: SequenceRule) -> DataFrame:
+    """The same from packets whose ``arrival`` and ``epoch`` are known."""
+    usable = numbered.filter(has_all_fields())
     in_order = Window.partitionBy(*EPOCH).orderBy("arrival")
     in_epoch = Window.partitionBy(*EPOCH)
     return (

@@ -61,7 +61,7 @@ def status_class(status: Column) -> Column:
 
 def utf8(data: Column) -> Column:
     """Bytes as text; bytes that are not UTF-8 become the replacement character."""
-    return F.decode(data, "UTF-8")
+    return F.make_valid_utf8(data.cast("string"))
 
 
 def json_record(**fields: Column) -> Column:

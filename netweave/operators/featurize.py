@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netweave.functions.features import (
     TCP,
@@ -15,7 +16,6 @@ from netweave.functions.features import (
 from netweave.functions.search import constant_array, count_not_above
 from netweave.plans.ordering import ROWS_PER_SPLIT, Total, running
 from netweave.schemas import FEATURE_COUNT, FEATURES
-from pyspark.sql import types as T
 
 # TCP SYN+ACK bits, smallest legal IP header length in words.
 SYN_ACK = 0x12
@@ -80,7 +80,7 @@ def label_training(
     packets: DataFrame,
     windows: DataFrame,
     group: list[str] | None = None,
-    literal_windows: int = MAX_LITERAL_WINDOWS,
+    literal_windows: int | None = None,
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """Mark packets that fall into any row (start, end) of ``windows``.
@@ -91,6 +91,7 @@ def label_training(
     packets and its running maximum of ends is compared with the packet's time.
     """
     group = list(group or [])
+    literal_windows = MAX_LITERAL_WINDOWS if literal_windows is None else literal_windows
     starts = F.unix_micros(F.col("start").cast("timestamp"))
     ends = F.unix_micros(F.col("end").cast("timestamp"))
     spans = windows.select(*group, starts.alias("_start"), ends.alias("_end"))

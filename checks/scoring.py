@@ -11,11 +11,19 @@ from netweave.functions import losses
 from netweave.operators import registry as rg
 from netweave.operators import scoring as sc
 from netweave.schemas import FEATURES
+from netweave.session import settled
 from netweave.sources.tables import model_registry, predictions, table, training_metrics
 
 
-def scored(spark, folder):
+def settled_sequences(spark, folder):
+    """Fitting and scoring read the sequences; they are built once."""
     rows = sequences(spark, folder)
+    kept = rows.select("_id", *KEYS, "ts", "is_training", "sequence", "familiarity")
+    return settled(kept, "sequences")
+
+
+def scored(spark, folder):
+    rows = settled_sequences(spark, folder)
     return sc.score_by_mean(rows, sc.mean_model(rows.filter("is_training")))
 
 
@@ -72,7 +80,7 @@ def mean_reconstruction_model(spark, folder):
 
 @query("subspace_model_scores", "D6, D9, U1, F14")
 def subspace_model_scores(spark, folder):
-    rows = sequences(spark, folder).select("_id", "is_training", "sequence")
+    rows = settled_sequences(spark, folder)
     model = sc.fit_subspace(rows.filter("is_training"), 4)
     errors = sc.score_by_subspace(rows, model)
     return errors.select("_id", r6(F.col("reconstruction_error")).alias("reconstruction_error"))

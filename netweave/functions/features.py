@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,20 +25,23 @@ def is_ipv4(ip: Column) -> Column:
     return ip.rlike(IPV4)
 
 
-def ipv4_number(ip: Column) -> Column:
-    """Dotted IPv4 text as a number; null for any other text."""
-    number = F.aggregate(
-        F.split(ip, r"\."), F.lit(0).cast("long"), lambda total, part: total * 256 + part.try_cast("long")
-    )
-    return F.when(is_ipv4(ip), number)
+def ipv4_number(ip: Column, well_formed: bool = False) -> Column:
+    """Dotted IPv4 text as a number; null for any other text.
+
+    ``well_formed`` skips the check where a filter has made it already.
+    """
+    parts = F.split(ip, r"\.")
+    a, b, c, d = (F.get(parts, F.lit(i)).try_cast("long") for i in range(4))
+    number = ((a * 256 + b) * 256 + c) * 256 + d
+    return number if well_formed else F.when(is_ipv4(ip), number)
 
 
-def ip_scaled(ip: Column) -> Column:
-    return ipv4_number(ip) / F.lit(float(MAX_IPV4)) * 2 - 1
+def ip_scaled(ip: Column, well_formed: bool = False) -> Column:
+    return ipv4_number(ip, well_formed) / F.lit(float(MAX_IPV4)) * 2 - 1
 
 
 def log_scaled(field: Column) -> Column:
-    return F.log1p(field.cast("double")) / F.log1p(F.lit(float(MAX_16_BIT))) * 2 - 1
+    return F.log1p(field.cast("double")) * (2 / math.log1p(MAX_16_BIT)) - 1
 
 
 def byte_scaled(field: Column) -> Column:
@@ -49,7 +54,7 @@ def flag_scaled(field: Column) -> Column:
 
 def gap_scaled(mean_gap: Column) -> Column:
     """Mean gap in seconds on a log scale where one second is 1."""
-    scaled = F.log1p(mean_gap) / F.log1p(F.lit(1.0)) * 2 - 1
+    scaled = F.log1p(mean_gap) * (2 / math.log1p(1)) - 1
     return (
         F.when(mean_gap > -1, scaled)
         .when(mean_gap == -1, F.lit(float("-inf")))
@@ -63,11 +68,11 @@ def by_protocol(tcp: Column, udp: Column, other: Column) -> Column:
 
 
 def feature_columns() -> dict[str, Column]:
-    """The 12 features of a packet row, by name."""
+    """The 12 features of a packet row that ``has_all_fields``, by name."""
     absent = F.lit(ABSENT)
     values = [
-        ip_scaled(F.col("src_ip")),
-        ip_scaled(F.col("dst_ip")),
+        ip_scaled(F.col("src_ip"), well_formed=True),
+        ip_scaled(F.col("dst_ip"), well_formed=True),
         log_scaled(F.col("ip_len")),
         flag_scaled(F.col("ip_flags")),
         byte_scaled(F.col("ttl")),

@@ -50,8 +50,12 @@ def place_packets(packets: DataFrame, rule: SequenceRule) -> DataFrame:
 
 
 def place_in_epochs(numbered: DataFrame, rule: SequenceRule) -> DataFrame:
-    """The same from packets whose ``arrival`` and ``epoch`` are known."""
-    usable = numbered.filter(has_all_fields())
+    """The same from packets whose ``arrival`` and ``epoch`` are known.
+
+    The explicit exchange matters when the arrival numbers came from windows per
+    sensor: without it the work below would keep that partitioning, one task a sensor.
+    """
+    usable = numbered.filter(has_all_fields()).repartition(*EPOCH)
     in_order = Window.partitionBy(*EPOCH).orderBy("arrival")
     in_epoch = Window.partitionBy(*EPOCH)
     return (
@@ -142,21 +146,20 @@ def assemble(placed: DataFrame, rule: SequenceRule) -> DataFrame:
     """One row per sequence: matrix, readable records, flags and counters.
 
     Feature 3 of every row is the scaled mean gap of the sequence; the IP flags that
-    stood there are kept in the readable record only.
+    stood there are kept in the readable record only. Vectors and records are
+    collected apart, so a plan that needs only one of them does not carry the other.
     """
     features = feature_columns()
-    item = F.struct(
-        "pos",
-        F.array(*[features[f] for f in FEATURES]).alias("features"),
-        F.struct(*[c.alias(n) for n, c in human_fields().items()]).alias("human"),
-    )
+    vector = F.struct("pos", F.array(*[features[f] for f in FEATURES]).alias("features"))
+    human = F.struct("pos", F.struct(*[c.alias(n) for n, c in human_fields().items()]).alias("human"))
     span = (F.max_by("_us", "pos") - F.min_by("_us", "pos")) / F.lit(1e6)
     grouped = (
         mark_new_pairs(placed)
         .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
         .groupBy(*SEQUENCE)
         .agg(
-            F.sort_array(F.collect_list(item)).alias("_items"),
+            F.sort_array(F.collect_list(vector)).alias("_vectors"),
+            F.sort_array(F.collect_list(human)).alias("_humans"),
             (span / (rule.length - 1)).alias("mean_gap"),
             F.max_by("is_training", "pos").alias("is_training"),
             F.max_by("ts", "pos").alias("ts"),
@@ -167,11 +170,9 @@ def assemble(placed: DataFrame, rule: SequenceRule) -> DataFrame:
     )
 
     def with_gap(entry: Column) -> Column:
-        cells = [
-            F.col("gap_feature") if i == GAP_FEATURE else F.get(entry["features"], F.lit(i))
-            for i in range(FEATURE_COUNT)
-        ]
-        return F.array(*cells)
+        return F.transform(
+            entry["features"], lambda x, i: F.when(i == GAP_FEATURE, F.col("gap_feature")).otherwise(x)
+        )
 
     return _running_familiarity(grouped).select(
         sequence_id().alias("_id"),
@@ -179,9 +180,9 @@ def assemble(placed: DataFrame, rule: SequenceRule) -> DataFrame:
         "ts",
         "is_training",
         "mean_gap",
-        F.transform("_items", with_gap).alias("unscaled"),
+        F.transform("_vectors", with_gap).alias("unscaled"),
         F.transform(
-            "_items", lambda e: e["human"].withField("avg_inter_packet_time", F.col("mean_gap"))
+            "_humans", lambda e: e["human"].withField("avg_inter_packet_time", F.col("mean_gap"))
         ).alias("human_readable"),
         "seen",
         "trained",
@@ -189,8 +190,8 @@ def assemble(placed: DataFrame, rule: SequenceRule) -> DataFrame:
     )
 
 
-def column_of(matrix: Column, j: int) -> Column:
-    return F.transform(matrix, lambda row: F.get(row, F.lit(j)))
+def column_of(matrix: Column, j: Column) -> Column:
+    return F.transform(matrix, lambda row: F.get(row, j))
 
 
 def quantile_of_sorted(values: Column, n: int, q: float) -> Column:
@@ -216,7 +217,8 @@ def quartile_params(matrix: Column, n: int) -> Column:
             quantile_of_sorted(ordered, n, 0.5).alias("median"), guard_spread(spread).alias("iqr")
         )
 
-    columns = F.array(*[F.sort_array(column_of(matrix, j)) for j in range(FEATURE_COUNT)])
+    features = F.sequence(F.lit(0), F.lit(FEATURE_COUNT - 1))
+    columns = F.transform(features, lambda j: F.sort_array(column_of(matrix, j)))
     return F.transform(columns, median_and_spread)
 
 
@@ -312,7 +314,7 @@ def feature_statistics(sequences: DataFrame, column: str = "sequence") -> DataFr
             F.sqrt(spread / F.size(e["v"])).alias("std"),
         )
 
-    entries = [entry(j, column_of(F.col(column), j)) for j in range(FEATURE_COUNT)]
+    entries = [entry(j, column_of(F.col(column), F.lit(j))) for j in range(FEATURE_COUNT)]
     entries.append(entry(-1, F.flatten(column)))
     return sequences.select("_id", *SEQUENCE, F.inline(F.transform(F.array(*entries), stats)))
 

@@ -14,6 +14,7 @@ def build_session(app_name: str = "netweave", master: str | None = None, **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
@@ -46,3 +47,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` where the cluster names a shared folder, else ``df`` as it is."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return materialise(df, name)
+    return df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netweave.plans.small import broadcast_if_small
 from netweave.schemas import REGISTRY
 
 
@@ -54,7 +55,7 @@ def resolve(requests: DataFrame, registry: DataFrame) -> DataFrame:
         .otherwise(wanted),
     )
     known = registry.select("version", "checkpoint_path", "validation_loss")
-    return concrete.join(known, "version", "left").withColumn("untrained", F.col("checkpoint_path").isNull())
+    return concrete.join(broadcast_if_small(known), "version", "left").withColumn("untrained", F.col("checkpoint_path").isNull())
 
 
 def list_checkpoints(spark: SparkSession, folder: str, suffix: str = ".pth") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from netweave.functions.features import feature_columns, gap_scaled, has_all_fields, human_fields
 from netweave.plans.ordering import ROWS_PER_SPLIT, first_rows, ordinals, sliding
+from netweave.plans.small import broadcast_if_small
 from netweave.schemas import FEATURE_COUNT, FEATURES, RESET_EVERY, SEQUENCE_LENGTH
 
 EPOCH = ["sensor_id", "epoch"]
@@ -290,7 +291,7 @@ def min_max_scale(rows: DataFrame, columns: list[str], group: list[str]) -> Data
         c: F.try_divide(F.col(c) - F.col(f"_min_{c}"), F.col(f"_max_{c}") - F.col(f"_min_{c}")) for c in columns
     }
     helpers = [f"_{e}_{c}" for e in ("min", "max") for c in columns]
-    return rows.join(ends, group).withColumns(scaled).drop(*helpers)
+    return rows.join(broadcast_if_small(ends), group).withColumns(scaled).drop(*helpers)
 
 
 def feature_statistics(sequences: DataFrame, column: str = "sequence") -> DataFrame:

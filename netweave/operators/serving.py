@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netweave.functions.text import truncate_text
 from netweave.operators.quality import sample_shape
 from netweave.plans.ordering import ROWS_PER_SPLIT, Total, running
+from netweave.plans.small import broadcast_if_small
 from netweave.schemas import KEPT_ANOMALIES
 
 # Page sizes and the newest rows pushed to a client.
@@ -155,7 +156,7 @@ def refused_marks(anomalies: DataFrame, marks: DataFrame) -> DataFrame:
 def trained_membership(packets: DataFrame, trained_pairs: DataFrame) -> DataFrame:
     """Flag packets whose address pair is in the training set."""
     known = trained_pairs.select("src_ip", "dst_ip").distinct().withColumn("_known", F.lit(True))
-    return packets.join(known, ["src_ip", "dst_ip"], "left").withColumn(
+    return packets.join(broadcast_if_small(known), ["src_ip", "dst_ip"], "left").withColumn(
         "known_pair", F.coalesce("_known", F.lit(False))
     ).drop("_known")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netweave.plans import ordering as od
 from netweave.plans.once import computed_once
+from netweave.plans.small import broadcast_if_small
 
 
 def hot_rows(n=3000):
@@ -104,3 +105,11 @@ def test_empty_table(spark):
 def test_computed_once_keeps_rows_and_is_not_substituted(spark):
     df = computed_once(spark.range(5).withColumn("a", F.lit(1)), b=F.col("id") * 2)
     assert [tuple(r) for r in df.filter("b > 3").orderBy("id").collect()] == [(2, 1, 4), (3, 1, 6), (4, 1, 8)]
+
+
+def test_broadcast_only_below_the_bound(spark):
+    table = spark.range(5)
+    hinted = broadcast_if_small(table, 5)._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint (strategy=broadcast)" in hinted or "UnresolvedHint broadcast" in hinted
+    assert broadcast_if_small(table, 4) is table
+    assert sorted(r["id"] for r in broadcast_if_small(table, 5).collect()) == list(range(5))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import views as v
 from checks.catalog import query, r6, s6
-from checks.sequences import KEYS, exploded, sequences
+from checks.sequences import KEYS, sequences
 from netweave.functions import losses
 from netweave.operators import registry as rg
 from netweave.operators import scoring as sc
@@ -305,4 +305,3 @@ def newest_checkpoint(spark, folder):
     return rg.newest_checkpoint(files)
 
 
-__all__ = ["exploded", "scored"]

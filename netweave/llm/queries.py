@@ -20,4 +20,40 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+ROUND_TRIP_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op3_chat_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import chat
+
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(
+        [(-7, 0, "user", ROUND_TRIP_TEXT), (-7, 1, "assistant", ROUND_TRIP_TEXT)],
+        "conv_id long, turn long, role string, text string",
+    )
+    return chat.format_conversations(given.unionByName(added))
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import langid
+
+    return langid.identify(table(spark, folder, "documents"))
+
+
+def op6_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import bpe
+
+    return bpe.encode_documents(table(spark, folder, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import mixing
+
+    return mixing.mix_by_source(table(spark, folder, "documents"))
+
+
 QUERIES["op2_quality_rules"] = op2_quality_rules
+QUERIES["op3_chat_round_trip"] = op3_chat_round_trip
+QUERIES["op4_language_id"] = op4_language_id
+QUERIES["op6_bpe_chunks"] = op6_bpe_chunks
+QUERIES["op7_source_mixing"] = op7_source_mixing

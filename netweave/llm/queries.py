@@ -14,6 +14,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import pii
+
+    return pii.report(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from netweave.llm import rules
 
@@ -52,8 +58,16 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, folder, "documents"))
 
 
+def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import winnow
+
+    return winnow.compare_with_next(table(spark, folder, "documents"))
+
+
+QUERIES["op1_personal_data"] = op1_personal_data
 QUERIES["op2_quality_rules"] = op2_quality_rules
 QUERIES["op3_chat_round_trip"] = op3_chat_round_trip
 QUERIES["op4_language_id"] = op4_language_id
 QUERIES["op6_bpe_chunks"] = op6_bpe_chunks
 QUERIES["op7_source_mixing"] = op7_source_mixing
+QUERIES["op10_winnowing"] = op10_winnowing

@@ -58,6 +58,12 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, folder, "documents"))
 
 
+def op9_parity_join(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import parity
+
+    return parity.components(table(spark, folder, "documents"))
+
+
 def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     from netweave.llm import winnow
 
@@ -70,4 +76,5 @@ QUERIES["op3_chat_round_trip"] = op3_chat_round_trip
 QUERIES["op4_language_id"] = op4_language_id
 QUERIES["op6_bpe_chunks"] = op6_bpe_chunks
 QUERIES["op7_source_mixing"] = op7_source_mixing
+QUERIES["op9_parity_join"] = op9_parity_join
 QUERIES["op10_winnowing"] = op10_winnowing

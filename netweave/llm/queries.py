@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netweave.llm import lines
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -58,6 +60,10 @@ def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_by_source(table(spark, folder, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedupe_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_parity_join(spark: SparkSession, folder: str) -> DataFrame:
     from netweave.llm import parity
 
@@ -76,5 +82,7 @@ QUERIES["op3_chat_round_trip"] = op3_chat_round_trip
 QUERIES["op4_language_id"] = op4_language_id
 QUERIES["op6_bpe_chunks"] = op6_bpe_chunks
 QUERIES["op7_source_mixing"] = op7_source_mixing
+QUERIES["op8_line_dedup"] = op8_line_dedup
 QUERIES["op9_parity_join"] = op9_parity_join
 QUERIES["op10_winnowing"] = op10_winnowing
+ORACLES["op8_line_dedup"] = lines.ORACLE

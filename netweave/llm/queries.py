@@ -48,6 +48,12 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
 
 
+def op5_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import kneser
+
+    return kneser.score_documents(table(spark, folder, "documents"))
+
+
 def op6_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
     from netweave.llm import bpe
 
@@ -80,6 +86,7 @@ QUERIES["op1_personal_data"] = op1_personal_data
 QUERIES["op2_quality_rules"] = op2_quality_rules
 QUERIES["op3_chat_round_trip"] = op3_chat_round_trip
 QUERIES["op4_language_id"] = op4_language_id
+QUERIES["op5_kneser_ney"] = op5_kneser_ney
 QUERIES["op6_bpe_chunks"] = op6_bpe_chunks
 QUERIES["op7_source_mixing"] = op7_source_mixing
 QUERIES["op8_line_dedup"] = op8_line_dedup

@@ -9,7 +9,7 @@ before a cut and the first space after it is encoded anew, and checked in a wind
 wider on both sides; if its tokens did not agree, the window would become the whole text.
 
 A cut never changes a result: what is missing from a split's file is encoded in place.
-Words are remembered within a worker, up to ``MEMO_WORDS``, to encode each once.
+Words are remembered within a worker, see ``MEMO_WORDS``, to encode each once.
 
 Defined results: null texts count as empty and have no tokens; repeated rows and null ids
 each get their row; extra columns do not matter; an empty table gives an empty table.
@@ -18,7 +18,9 @@ each get their row; extra columns do not matter; an empty table gives an empty t
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,12 +37,13 @@ from netweave.llm.common import file_exists, fresh_folder, mapped_file, write_fi
 
 VOCABULARY = "word_bpe_49k.json"
 #: A cut every so many bytes on average, and none closer than the second number.
-MEAN_CHUNK = 512
-MIN_CHUNK = 96
+MEAN_CHUNK = 1024
+MIN_CHUNK = 128
 #: Bytes over which the rolling hash looks.
 ROLLING = 32
 UNIT_BYTES = 32 << 20
-MEMO_WORDS = 200_000
+#: A worker remembers the words of its last one to two times so many different ones.
+MEMO_WORDS = 600_000
 SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -103,29 +106,38 @@ class Encoder:
     """Texts to ids as little-endian 32-bit integers; each word is encoded once while it is remembered."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         names = {i: token for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
+        #: the words met lately, and those of the generation before
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def ids(self, text: bytes) -> bytes:
         """Spaces separate what the merges look at, so the words' ids follow each other."""
         found = text.split()
-        memo = self.memo
-        missing = [w for w in dict.fromkeys(found) if w not in memo]
+        if len(self.memo) > MEMO_WORDS:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        missing = []
+        for word in dict.fromkeys(found):
+            if word not in memo:
+                known = older.get(word)
+                if known is None:
+                    missing.append(word)
+                else:
+                    memo[word] = known
         if missing:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo.clear()
-                missing = list(dict.fromkeys(found))
             encoded = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(missing, encoded))
+            memo.update((w, array("I", e.ids).tobytes()) for w, e in zip(missing, encoded))
         return b"".join(map(memo.__getitem__, found))
 
     def whole(self, text: bytes) -> bytes:
         """The ids of a stretch by the tokenizer alone, without the memory of words."""
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def decode(self, ids: bytes) -> str:
         """What the library's decode gives without a decoder: the tokens, special ones too, joined by spaces."""
@@ -315,10 +327,10 @@ def _shared_ids(folder: str, split: int) -> dict[bytes, bytes]:
 
 
 def encode_documents(documents: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per document: token count and digests of ids and decoded text, and the ids themselves if asked for."""
+    """One row per document: token count and digests of ids and decoded text; if asked for, the ids, 32 bits each, little-endian."""
     path = path or vocabulary_path()
     folder = share_chunks(documents, path)
-    schema = SCHEMA + (", ids array<int>" if with_ids else "")
+    schema = SCHEMA + (", ids binary" if with_ids else "")
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shared = encoder(path), _shared_ids(folder, TaskContext.get().partitionId())
@@ -330,11 +342,11 @@ def encode_documents(documents: DataFrame, path: str | None = None, with_ids: bo
                 hashes.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(np.frombuffer(ids, "<u4").tolist())
+                    all_ids.append(ids)
             arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                arrays.append(pa.array(all_ids, pa.list_(pa.int32())))
+                arrays.append(pa.array(all_ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 

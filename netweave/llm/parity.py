@@ -6,7 +6,7 @@ A document's set of 4-word shingles is hashed to 64-bit tokens. Two bit sketches
   the XOR of its tokens (one parity bit each, and the whole hashes). A token changes one block, so the
   number of differing blocks is at most the symmetric difference. Sets that link differ in at most
   ``d`` tokens, so with ``d + 1 + SLACK`` blocks some non-empty block is equal: the pigeonhole join.
-* A parity bit vector of a power-of-two length, at least ``8`` bits a token. Its Hamming distance is at
+* A parity bit vector of a power-of-two length, at least 8 bits a token and 4096 in all. Its Hamming distance is at
   most the symmetric difference, too; candidates beyond the bound are dropped.
 
 What is left is verified on the token sets. Candidates of a block are compared with its least
@@ -43,6 +43,8 @@ MIN_SHARE = 85
 BAND_RATIO = 1.3
 SLACK = 2
 BITS_PER_TOKEN = 8
+#: In a short text a single collision is a large share of the bound, so no vector is shorter.
+LEAST_BITS = 4096
 CHUNK = 512
 #: Up to so many ids (8 bytes each) are sent to all tasks to pick documents; beyond, the join shuffles.
 SENT_IDS = 500_000
@@ -116,7 +118,7 @@ def block_keys(tokens: np.ndarray, band: int) -> np.ndarray:
 
 def bit_vector(tokens: np.ndarray) -> np.ndarray:
     """Parity bits at the tokens' low bits, as 64-bit words; the length is a power of two."""
-    bits = 64
+    bits = LEAST_BITS
     while bits < BITS_PER_TOKEN * len(tokens):
         bits *= 2
     odd, times = np.unique(tokens & np.uint64(bits - 1), return_counts=True)
@@ -325,9 +327,9 @@ def components(documents: DataFrame) -> DataFrame:
     links = _verified(documents, nodes, near)
     labels = connected(links)
 
-    # blocks of three or more members that are not one component yet
+    # blocks of three or more members that are not one component yet; what the hub links with is known
     open_members = (
-        members.filter("together > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        members.filter("together > 2 and node != hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         .withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key)}).filter("low != high")
     )
     rest = stored(_compare(_group_tasks(open_members), bits, False).join(near, ["a", "b"], "left_anti"), "parity-rest")

@@ -63,8 +63,10 @@ def gap_scaled(mean_gap: Column) -> Column:
 
 
 def by_protocol(tcp: Column, udp: Column, other: Column) -> Column:
+    """A packet whose transport header was not decoded, such as a later fragment, takes the third branch."""
     proto = F.col("proto")
-    return F.when(proto == TCP, tcp).when(proto == UDP, udp).otherwise(other)
+    decoded = F.coalesce("src_port", "dst_port", "tcp_flags", "tcp_window", "udp_len").isNotNull()
+    return F.when((proto == TCP) & decoded, tcp).when((proto == UDP) & decoded, udp).otherwise(other)
 
 
 def feature_columns() -> dict[str, Column]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import json
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,11 +12,16 @@ from pyspark.sql import types as T
 
 
 def constant_array(values: list, element: T.DataType) -> Column:
-    """A list the driver knows, folded by the optimizer into one literal."""
-    text = json.dumps(values)
+    """A list the driver knows, folded by the optimizer into one literal of the given type."""
+    text = json.dumps(values, default=_as_text)
     return F.from_json(F.lit(text), T.ArrayType(element))
 
 
+def _as_text(value: Decimal | bytes | bytearray) -> str:
+    """How the JSON reader takes decimals and bytes."""
+    return format(value, "f") if isinstance(value, Decimal) else base64.b64encode(bytes(value)).decode()
+
+
 def count_not_above(points: Column, size: int, key: Column) -> Column:
     """How many entries of the ascending array ``points`` are ``<= key``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,11 +94,16 @@ def label_training(
     literal_windows = MAX_LITERAL_WINDOWS if literal_windows is None else literal_windows
     starts = F.unix_micros(F.col("start").cast("timestamp"))
     ends = F.unix_micros(F.col("end").cast("timestamp"))
-    spans = windows.select(*group, starts.alias("_start"), ends.alias("_end"))
+    if "requested_at" in windows.columns:
+        starts = F.when(starts.isNotNull(), F.greatest(starts, F.unix_micros(F.col("requested_at").cast("timestamp"))))
+    # a window without a start or an end, or whose end is before its start, covers nothing
+    spans = windows.select(*group, starts.alias("_start"), ends.alias("_end")).filter("_start <= _end")
     now = F.unix_micros(F.col("ts").cast("timestamp"))
     few = [] if group else spans.select("_start", "_end").limit(literal_windows + 1).collect()
     if not group and len(few) <= literal_windows:
         return _label_from_literal(packets, few, now)
+    if packets.isStreaming:
+        return _label_stream(packets, spans, group, now)
     marks = spans.select(
         *group,
         F.col("_start").alias("_us"),
@@ -126,6 +131,27 @@ def label_training(
     return covered.filter(F.col("_kind") == 1).select("_packet.*", flag)
 
 
+def _label_stream(packets: DataFrame, spans: DataFrame, group: list[str], now: Column) -> DataFrame:
+    """Stream rows against windows of any number: disjoint intervals, joined by group and day, so that a row meets one at most.
+
+    The windows are a static side, read again in every micro-batch, so windows added meanwhile count.
+    """
+    day = 86_400_000_000
+    by = Window.partitionBy(*group).orderBy("_start", "_end")
+    reach = F.max("_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    merged = (
+        spans.withColumn("_new", F.when(F.col("_start") <= reach, 0).otherwise(1))
+        .withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy(*group, "_island").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"))
+        .withColumn("_day", F.explode(F.sequence(F.floor(F.col("_start") / day), F.floor(F.col("_end") / day))))
+    )
+    merged = merged.select(*[F.col(g).alias(f"_window_{g}") for g in group], "_start", "_end", "_day")
+    match = (F.floor(now / day) == F.col("_day")) & (now >= F.col("_start")) & (now <= F.col("_end"))
+    for g in group:
+        match = match & packets[g].eqNullSafe(F.col(f"_window_{g}"))
+    return packets.join(merged, match, "left").select(*packets.columns, F.col("_start").isNotNull().alias("is_training"))
+
+
 def _label_from_literal(packets: DataFrame, spans: list, now: Column) -> DataFrame:
     ordered = sorted((row["_start"], row["_end"]) for row in spans if None not in tuple(row))
     starts, latest = [], []

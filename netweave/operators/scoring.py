@@ -27,6 +27,7 @@ from netweave.schemas import (
     NORMAL_SHARE,
     PATIENCE,
     SCORING_BATCH,
+    SEQUENCE_LENGTH,
 )
 
 # Tasks get the scorer with the job, whether or not the package is installed there.
@@ -45,8 +46,10 @@ def mean_model(training: DataFrame) -> DataFrame:
 
 
 def score_by_mean(sequences: DataFrame, model: DataFrame) -> DataFrame:
-    """Add ``reconstruction_error`` against the one-row model."""
-    reconstruction = model.select("reconstruction").scalar()
+    """Add ``reconstruction_error`` against the one-row model; without a trained model against zeros."""
+    untrained = F.array_repeat(F.array_repeat(F.lit(0.0), FEATURE_COUNT), SEQUENCE_LENGTH)
+    trained = model.filter(F.size("reconstruction") > 0).select("reconstruction").scalar()
+    reconstruction = F.coalesce(trained, untrained)
     return (
         sequences.withColumn("_reconstruction", reconstruction)
         .withColumn("reconstruction_error", sequence_error(F.col("sequence"), F.col("_reconstruction")))
@@ -121,7 +124,8 @@ def dynamic_threshold(
     tie: str = "_id",
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """The element at 0-based index floor(n * share) of the ascending errors."""
+    """The element at 0-based index floor(n * share) of the ascending errors; null errors do not count."""
+    errors = errors.filter(F.col("reconstruction_error").isNotNull())
     position = F.floor(F.col("n").cast("double") * normal_share)
     found = row_at(errors.select("reconstruction_error", tie), ["reconstruction_error", tie], position, rows_per_split)
     return found.select(F.col("reconstruction_error").alias("threshold"))

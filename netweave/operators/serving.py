@@ -143,10 +143,11 @@ def labeled_records(anomalies: DataFrame, marks: DataFrame, marked_at: Column |
 
 
 def refused_marks(anomalies: DataFrame, marks: DataFrame) -> DataFrame:
-    """Marks that changed nothing, with the reason."""
-    missing = marks.filter(F.col("_id").isNull()).withColumn("reason", F.lit("missing_id"))
+    """Marks that changed nothing, with the reason; an empty id is a missing one."""
+    given = F.coalesce(F.col("_id") != "", F.lit(False))
+    missing = marks.filter(~given).withColumn("reason", F.lit("missing_id"))
     unknown = (
-        marks.filter(F.col("_id").isNotNull())
+        marks.filter(given)
         .join(anomalies.select("_id").distinct(), "_id", "left_anti")
         .withColumn("reason", F.lit("not_found"))
     )

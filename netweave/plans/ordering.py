@@ -6,14 +6,14 @@ taken from a sample, so the pieces are about equal in size whatever the keys loo
 like (a sensor, an instant or a value may hold most rows). Each piece is reduced
 to a partial total, the partial totals are summed in order (at most one row per
 piece and group), and the remaining work is a window inside one piece. The
-results are exact: the sample only chooses where to cut.
+results are exact: the sample only chooses where to cut. Null groups are groups like
+others, null keys come first (last where descending), and NaN after every number.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ ROWS_PER_SPLIT = 2_000_000
 MAX_SPLITS = 32_768
 SAMPLE_PER_SPLIT = 200
 SPLIT = "_split"
+GROUP = "_group"
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,8 @@ def find_splits(
         .agg(F.min(F.struct(*order)).alias("key"))
         .select("key")
     )
-    found = sorted(tuple(row["key"]) for row in cuts.collect())[1:]
+    # Spark sorts the cuts, so that nulls and NaN stand where its windows put them
+    found = [tuple(row["key"]) for row in cuts.orderBy("key").collect()][1:]
     element = cuts.schema["key"].dataType
     points = [dict(zip(order, values)) for values in found]
     return Splits(constant_array(points, element), len(points), key)
@@ -96,18 +98,21 @@ def _local_order(order: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
 
-def _with_before(
-    pieces: DataFrame, group: list[str], totals: dict[str, Total], descending: bool
-) -> DataFrame:
+def _cut(df: DataFrame, splits: Splits, group: list[str]) -> DataFrame:
+    """Rows with their piece and their group as one value that is never null, so that joins match null groups."""
+    return df.withColumns({SPLIT: splits.piece(), GROUP: F.struct(*[F.col(g) for g in group]) if group else F.struct(F.lit(0))})
+
+
+def _with_before(pieces: DataFrame, totals: dict[str, Total], descending: bool) -> DataFrame:
     """Per piece: the totals of everything that comes earlier in the order."""
-    partial = pieces.groupBy(*group, SPLIT).agg(*[t.aggregate().alias(n) for n, t in totals.items()])
-    frame = Window.partitionBy(*group).orderBy(SPLIT)
+    partial = pieces.groupBy(GROUP, SPLIT).agg(*[t.aggregate().alias(n) for n, t in totals.items()])
+    frame = Window.partitionBy(GROUP).orderBy(SPLIT)
     if descending:
         frame = frame.rowsBetween(1, Window.unboundedFollowing)
     else:
         frame = frame.rowsBetween(Window.unboundedPreceding, -1)
     return partial.select(
-        *group,
+        GROUP,
         SPLIT,
         *[t.aggregate(F.col(n)).over(frame).alias(f"_before_{n}") for n, t in totals.items()],
     )
@@ -128,13 +133,13 @@ def running(
     if splits.count == 0:
         frame = Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[t.aggregate().over(frame).alias(n) for n, t in totals.items()])
-    pieces = df.withColumn(SPLIT, splits.piece())
-    before = _with_before(pieces, group, totals, descending)
+    pieces = _cut(df, splits, group)
+    before = _with_before(pieces, totals, descending)
     frame = (
-        Window.partitionBy(*group, SPLIT).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(GROUP, SPLIT).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        pieces.join(before, [*group, SPLIT])
+        pieces.join(before, [GROUP, SPLIT])
         .select(
             *df.columns,
             *[
@@ -176,13 +181,13 @@ def first_rows(
     if splits.count == 0:
         frame = Window.partitionBy(*group).orderBy(*by)
         return df.withColumn(name, F.row_number().over(frame)).filter(F.col(name) <= n)
-    pieces = df.withColumn(SPLIT, splits.piece())
+    pieces = _cut(df, splits, group)
     one = Total("sum", F.lit(1).cast("long"))
-    before = _with_before(pieces, group, {name: one}, descending)
+    before = _with_before(pieces, {name: one}, descending)
     before = before.withColumn("_before", F.coalesce(F.col(f"_before_{name}"), F.lit(0)))
-    frame = Window.partitionBy(*group, SPLIT).orderBy(*by)
+    frame = Window.partitionBy(GROUP, SPLIT).orderBy(*by)
     return (
-        pieces.join(before.filter(F.col("_before") < n), [*group, SPLIT])
+        pieces.join(before.filter(F.col("_before") < n), [GROUP, SPLIT])
         .select(*df.columns, (F.col("_before") + F.row_number().over(frame)).cast("int").alias(name))
         .filter(F.col(name) <= n)
     )
@@ -254,6 +259,3 @@ def sliding(
         .select(*df.columns, name)
     )
 
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda left, right: left & right, conditions)

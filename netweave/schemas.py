@@ -115,7 +115,7 @@ RAW_KEYS = [
     "reconstruction_error",
     "familiarity",
 ]
-SCORING_KEYS = ["_id", "sequence", "timestamp", "is_training"]
+SCORING_KEYS = ["_id", "sequence", "timestamp", "is_training", "familiarity"]
 
 # Stage order of the log, lowest first; ties in time go to the later stage.
 STAGES = ["raw", "processed", "training", "predictions", "labeled"]

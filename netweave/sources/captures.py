@@ -108,6 +108,8 @@ def _header_fields(data: bytes, link: int) -> dict:
         "ttl": data[at + 8],
         "proto": proto,
     }
+    if flags_word & 0x1FFF:
+        return fields  # a later fragment has no transport header
     body = data[at + max(words, 5) * 4 :]
     if proto == 6 and len(body) >= 16:
         ports = struct.unpack(">HH", body[:4])

@@ -51,13 +51,14 @@ def within_retention(messages: DataFrame, as_of: Column, hours: int = 1) -> Data
 
 
 def write_collection(documents: DataFrame, path: str, mode: str = "append") -> None:
-    """Day folders and rows sorted by time inside a file, so a time range reads little.
+    """Day folders whose files hold one stretch of time each, so a time range reads little.
 
-    Rows of a day are spread over several writers; a busy day is no single task.
+    Rows are dealt by ranges of (day, time), cut by the sizes that are there: a busy day is spread
+    over as many writers as its share of the rows asks for.
     """
     (
         documents.withColumn("day", F.to_date("timestamp"))
-        .repartition(F.col("day"), F.pmod(F.xxhash64("_id"), F.lit(16)))
+        .repartitionByRange("day", "timestamp", "_id")
         .sortWithinPartitions("day", "timestamp")
         .write.mode(mode)
         .partitionBy("day")

@@ -43,7 +43,8 @@ class MicroBatchSequencer:
         progress = self._load(spark, "progress", batch_id - 1, PROGRESS)
 
         fresh = ordinals(batch, self.rule.order, "n", ["sensor_id"], rows_per_split=self.rule.rows_per_split)
-        fresh = fresh.join(progress, "sensor_id", "left").withColumn(
+        before = progress.withColumnRenamed("sensor_id", "_sensor")
+        fresh = fresh.join(before, F.col("sensor_id").eqNullSafe(F.col("_sensor")), "left").withColumn(
             "arrival", F.col("n") + F.coalesce("arrived", F.lit(0))
         )
         numbered = (
@@ -63,11 +64,15 @@ class MicroBatchSequencer:
         placed = sq.place_in_epochs(numbered, self.rule)
         last_is_fresh = placed.filter(F.col("fresh")).select(*sq.SEQUENCE).distinct()
         sequences = sq.scale_by_first(sq.assemble(placed, self.rule), self.rule)
-        finished = sequences.join(last_is_fresh, sq.SEQUENCE, "left_semi")
+        same = F.lit(True)
+        for name in sq.SEQUENCE:  # a packet without a sensor has sequences, too
+            same = same & sequences[name].eqNullSafe(last_is_fresh[name])
+        finished = sequences.join(last_is_fresh, same, "left_semi")
         finished.write.mode("overwrite").parquet(f"{self.output}/batch={batch_id}")
 
         closed = F.floor(F.col("arrived") / self.rule.reset_every) * self.rule.reset_every
-        still_open = numbered.join(arrived, "sensor_id").filter(F.col("arrival") > closed)
+        same = numbered["sensor_id"].eqNullSafe(arrived["sensor_id"])
+        still_open = numbered.join(arrived.select("sensor_id", "arrived"), same).filter(F.col("arrival") > closed).select(numbered["*"])
         self._save(still_open.select(*OPEN.fieldNames()), "open", batch_id)
         for name in ("open", "progress"):
             self._drop(spark, name, batch_id - 2)

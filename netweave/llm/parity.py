@@ -10,10 +10,13 @@ A document's set of 4-word shingles is hashed to 64-bit tokens. Two bit sketches
   most the symmetric difference, too; candidates beyond the bound are dropped.
 
 What is left is verified on the token sets. Candidates of a block are compared with its least
-member first (a star); the links found join members to components, and only then are the pairs
-between different components of a block compared, in tasks of at most ``2 * CHUNK`` members. No pair that
-could link two components is left out, and copies are never expanded into pairs: equal sets are one
-node, named by a 64-bit hash of the set.
+member first (a star); the links found join members to components, and only then are the members of
+different components of a block compared, in tasks of at most ``2 * CHUNK`` members. A task gives a
+spanning forest of its candidates, likeliest first, so fewer pairs than members. Where all of a forest's
+pairs link, any other candidate of the task lies inside a component. The tasks of which a pair did not link
+are done once more with the new components, and give every candidate between different ones. No pair
+that could link two components is left out, and copies are never expanded into pairs: equal sets are
+one node, named by a 64-bit hash of the set.
 
 Two sets of a band pair meet in the band of the smaller one; a set is sketched for its own band and for those
 below whose sets could be as large as 85 % of it. An empty block says nothing; a set with more than
@@ -27,7 +30,7 @@ Extra columns do not matter; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -196,15 +199,16 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- comparisons in tasks of bounded size
 
 
-def _close(a: np.ndarray, b: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
-    """Which rows of ``b`` may link with ``a`` by sizes and Hamming distance."""
+def _close(a: np.ndarray, b: np.ndarray, n: int, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of ``b`` may link with ``a`` by sizes and Hamming distance, and the share of the bound it takes."""
     fits = (100 * np.minimum(n, m) >= MIN_SHARE * np.maximum(n, m)).nonzero()[0]
-    distance = np.bitwise_count(b[fits] ^ a).sum(1)
-    return fits[distance <= largest_difference(n, m[fits])]
+    distance, bound = np.bitwise_count(b[fits] ^ a).sum(1), largest_difference(n, m[fits])
+    near = distance <= bound
+    return fits[near], distance[near] / np.maximum(bound[near], 1)
 
 
-def _hamming_pairs(sizes: np.ndarray, data: list[bytes], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    out = []
+def _candidates(sizes: np.ndarray, data: list[bytes], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each left member, the right ones of other labels that may link with it, and how much of the bound they take."""
     lengths = np.array([len(d) // 8 for d in data])
     stacks = {}
     for words in np.unique(lengths):
@@ -217,8 +221,41 @@ def _hamming_pairs(sizes: np.ndarray, data: list[bytes], label: np.ndarray, left
             if max(words, int(lengths[i])) > 2 * least:
                 continue  # the sizes cannot fit
             mine = folded(np.frombuffer(data[i], np.uint64)[None, :], least)[0]
-            found = own[_close(mine, folded(vectors, least), int(sizes[i]), sizes[own])]
-            out += [(i, j) for j in found if label[i] != label[j]]
+            fits, share = _close(mine, folded(vectors, least), int(sizes[i]), sizes[own])
+            other = label[own[fits]] != label[i]
+            yield int(i), own[fits[other]], share[other]
+
+
+def _hamming_pairs(*members) -> list[tuple[int, int]]:
+    return [(i, int(j)) for i, found, _ in _candidates(*members) for j in found]
+
+
+def _forest(sizes: np.ndarray, data: list[bytes], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Candidates that join all labels that candidates connect, none superfluous, those of the least share first."""
+    at = np.unique(label, return_inverse=True)[1].tolist()
+    above = list(range(len(at)))  # labels join as the forest grows
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    lefts, rights, shares = [], [], []
+    for i, found, share in _candidates(sizes, data, label, left, right):
+        lefts.append(np.full(len(found), i))
+        rights.append(found)
+        shares.append(share)
+    if not lefts:
+        return []
+    a, b, share = np.concatenate(lefts), np.concatenate(rights), np.concatenate(shares)
+    order = np.argsort(share, kind="stable")
+    out = []
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        x, y = top(at[i]), top(at[j])
+        if x != y:
+            above[x] = y
+            out.append((i, j))
     return out
 
 
@@ -233,18 +270,17 @@ def _exact_pairs(sizes: np.ndarray, data: list[bytes], label: np.ndarray, left:
     return out
 
 
-def _compare(tasks: DataFrame, payload: DataFrame, exact: bool) -> DataFrame:
+def _compare(tasks: DataFrame, payload: DataFrame, test: Callable) -> DataFrame:
     """Pairs of a task's left and right members that pass. ``tasks``: task, side (0, 1; 2 is both), node, label."""
-    test = _exact_pairs if exact else _hamming_pairs
 
-    def one(rows: list[tuple]) -> list[tuple[int, int]]:
+    def one(rows: list[tuple]) -> list[tuple[int, int, int]]:
         side = np.array([r[1] for r in rows])
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right):
             return []
         pairs = test(np.array([r[4] for r in rows]), [r[5] for r in rows], np.array([r[3] for r in rows]), left, right)
         names = {(min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])) for i, j in pairs if rows[i][2] != rows[j][2]}
-        return sorted(names)
+        return [(rows[0][0], a, b) for a, b in sorted(names)]
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -260,13 +296,15 @@ def _compare(tasks: DataFrame, payload: DataFrame, exact: bool) -> DataFrame:
             yield _pairs(one(held))
 
     ordered = tasks.join(payload, "node").select("task", "side", "node", "label", "n", "data")
-    return ordered.repartition("task").sortWithinPartitions("task", "node").mapInArrow(batches, "a long, b long").distinct()
+    return ordered.repartition("task").sortWithinPartitions("task", "node").mapInArrow(batches, "task long, a long, b long")
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"]
-    )
+def _pairs(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], ["task", "a", "b"])
+
+
+def _distinct(compared: DataFrame) -> DataFrame:
+    return compared.select("a", "b").distinct()
 
 
 def _star_tasks(pairs: DataFrame) -> DataFrame:
@@ -284,13 +322,14 @@ def _star_tasks(pairs: DataFrame) -> DataFrame:
 def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that link, by their token sets, which are made anew for the documents in question only."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = stored(nodes.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "parity-ids")
+    firsts = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))  # before the join, copies are many
+    ids = stored(firsts.join(wanted, "node", "left_semi"), "parity-ids")
     first = ids.select("doc_id").distinct().withColumnRenamed("doc_id", "first_id")
     if first.count() <= SENT_IDS:
         first = F.broadcast(first)
     chosen = documents.join(first, documents["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
     sets = chosen.select("text").mapInArrow(_set_batches, "node long, n long, data binary").dropDuplicates(["node"])
-    return stored(_compare(_star_tasks(pairs), sets.join(ids.select("node"), "node", "left_semi"), True), "parity-links")
+    return stored(_compare(_star_tasks(pairs), sets.join(ids.select("node"), "node", "left_semi"), _exact_pairs).transform(_distinct), "parity-links")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -323,7 +362,7 @@ def components(documents: DataFrame) -> DataFrame:
     members = stored(members, "parity-members")
 
     stars = members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    near = stored(_compare(_star_tasks(stars), bits, False), "parity-near")
+    near = stored(_distinct(_compare(_star_tasks(stars), bits, _hamming_pairs)), "parity-near")
     links = _verified(documents, nodes, near)
     labels = connected(links)
 
@@ -332,7 +371,18 @@ def components(documents: DataFrame) -> DataFrame:
         members.filter("together > 2 and node != hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         .withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key)}).filter("low != high")
     )
-    rest = stored(_compare(_group_tasks(open_members), bits, False).join(near, ["a", "b"], "left_anti"), "parity-rest")
+    tasks = stored(_group_tasks(open_members), "parity-tasks")
+    forest = stored(_compare(tasks, bits, _forest), "parity-forest")
+    tried = near
+    if not forest.isEmpty():
+        more = _verified(documents, nodes, _distinct(forest).join(near, ["a", "b"], "left_anti"))
+        links = stored(links.unionByName(more), "parity-links")
+        labels = connected(links)
+        tried = near.unionByName(_distinct(forest)).distinct()
+    # where a pair of the forest does not link, other candidates of its task may still do so
+    failed = forest.join(links, ["a", "b"], "left_anti").select("task").distinct()
+    again = tasks.join(failed, "task", "left_semi").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = stored(_distinct(_compare(again, bits, _hamming_pairs)).join(tried, ["a", "b"], "left_anti"), "parity-rest")
     if not rest.isEmpty():
         links = stored(links.unionByName(_verified(documents, nodes, rest)), "parity-links")
         labels = connected(links)

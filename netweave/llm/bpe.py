@@ -43,7 +43,7 @@ MIN_CHUNK = 128
 ROLLING = 32
 UNIT_BYTES = 32 << 20
 #: A worker remembers the words of its last one to two times so many different ones.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 150_000
 SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

@@ -82,6 +82,12 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, folder, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import align
+
+    return align.align_documents(table(spark, folder, "documents"))
+
+
 QUERIES["op1_personal_data"] = op1_personal_data
 QUERIES["op2_quality_rules"] = op2_quality_rules
 QUERIES["op3_chat_round_trip"] = op3_chat_round_trip
@@ -92,4 +98,5 @@ QUERIES["op7_source_mixing"] = op7_source_mixing
 QUERIES["op8_line_dedup"] = op8_line_dedup
 QUERIES["op9_parity_join"] = op9_parity_join
 QUERIES["op10_winnowing"] = op10_winnowing
+QUERIES["op13_token_alignment"] = op13_token_alignment
 ORACLES["op8_line_dedup"] = lines.ORACLE

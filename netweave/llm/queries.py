@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netweave.llm import lines
+from netweave.llm import collocations, lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,6 +82,16 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.compare_with_next(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, folder, "documents"))
+
+
+def op12_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from netweave.llm import licences
+
+    return licences.label_licences(table(spark, folder, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     from netweave.llm import align
 
@@ -98,5 +108,8 @@ QUERIES["op7_source_mixing"] = op7_source_mixing
 QUERIES["op8_line_dedup"] = op8_line_dedup
 QUERIES["op9_parity_join"] = op9_parity_join
 QUERIES["op10_winnowing"] = op10_winnowing
+QUERIES["op11_collocations"] = op11_collocations
+QUERIES["op12_licence_scan"] = op12_licence_scan
 QUERIES["op13_token_alignment"] = op13_token_alignment
 ORACLES["op8_line_dedup"] = lines.ORACLE
+ORACLES["op11_collocations"] = collocations.ORACLE

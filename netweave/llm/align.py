@@ -10,10 +10,10 @@ vocabulary for it), so a text is aligned in pieces cut there, and a piece that w
 
 1. Each split aligns its documents and writes, per document, counts, the digest of the groups and the distinct
    linked id pairs; and per some thousand documents how many of them hold each pair.
-2. Spark adds the pair counts up. Ranges of ids of the first vocabulary become sorted files: pair, count, and
+2. Spark adds the pair counts up. They become sorted files by the first vocabulary's ids: pair, count, and
    whether it is the highest of its first id. The product of the vocabulary sizes bounds them, whatever the corpus.
-3. The stored documents look their pairs up in these files, range by range, memory-mapped where the shared folder
-   is mounted and else read one range at a time.
+3. The stored documents look their pairs up in these files, one after the other, memory-mapped where the shared folder
+   is mounted and else read.
 
 Defined results: a null or empty text, and one whose bytes either vocabulary does not give back, has no tokens: zeros
 and an empty digest. Repeated rows and null ids count and each get their row; extra columns do not matter; an
@@ -40,14 +40,17 @@ from netweave.llm.common import file_exists, fresh_folder, local_fs, stored, wri
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Where a text may be cut: a space between two characters that no tokenizer takes for white space.
 BORDER = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+PLAIN, SPACE_SIGN = re.compile(r"[\w!-~]"), "▁"
 #: Longer texts are aligned in stretches of about so many characters.
 STRETCH = 1 << 20
 #: A worker remembers at most about so many pieces, and so many of their characters.
-MEMO_PIECES, MEMO_CHARS = 150_000, 8 << 20
+MEMO_PIECES, MEMO_CHARS = 200_000, 8 << 20
+#: Pieces of texts of about so many characters are learned together.
+LEARNED_CHARS = 1 << 19
 #: Distinct pairs that a split collects before it hands their counts on.
 PAIRS_HELD = 1 << 20
-#: Ids of the first vocabulary in one file.
-IDS_A_FILE = 1024
+#: Files of counts: an id of the first vocabulary is in the file of its remainder, which spreads the common low ids.
+FILES = 64
 #: Documents looked up together.
 LOOKED_UP = 2000
 
@@ -141,37 +144,44 @@ class Aligner:
 
     def clear(self) -> None:
         self.places: dict[str, int] = {}
-        self.numbers: list[tuple[int, int, int, int]] = []  # tokens of both sides, groups, links; zeros if not reversible
+        self.numbers = np.zeros((1024, 4), np.int64)  # tokens of both sides, groups, links; zeros if not reversible
         self.groups: list[bytes] = []
         self.pairs: list[bytes] = []
         self.chars = 0
 
-    def places_of(self, pieces: list[str]) -> list[int]:
+    def learn(self, pieces: Iterator[str]) -> None:
+        """Align the pieces that are not remembered, all in one go but for those whose ends might join a neighbour."""
         if len(self.places) > MEMO_PIECES or self.chars > MEMO_CHARS:
             self.clear()
         missing = [p for p in dict.fromkeys(pieces) if p not in self.places]
-        if missing:
-            self._align(missing)
-        return list(map(self.places.__getitem__, pieces))
-
-    def _align(self, pieces: list[str]) -> None:
-        own = self.own
+        plain = [p for p in missing if PLAIN.match(p) and PLAIN.match(p, len(p) - 1) and SPACE_SIGN not in p]
+        if plain and not self._align(plain):
+            plain = []
+        if len(plain) < len(missing):
+            known = set(plain)
+            for piece in missing:
+                if piece not in known and not self._align([piece]):
+                    self._remember([piece], np.zeros((1, 4), np.int64), [b""], [b""])
+
+    def _remember(self, pieces: list[str], numbers: np.ndarray, groups: list[bytes], pairs: list[bytes]) -> None:
+        first = len(self.groups)
+        self.places.update(zip(pieces, range(first, first + len(pieces))))
         self.chars += sum(map(len, pieces))
-        a_ids = [e.ids for e in own.first.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        b_ids = own.second.encode(pieces, num_threads=1)
-        for at, (piece, a, b) in enumerate(zip(pieces, a_ids, b_ids)):
-            self.places[piece] = len(self.numbers) + at
-            given = (" " + piece).encode("utf-8", "surrogatepass")
-            if b"".join(map(own.a_bytes.__getitem__, a)) != given or b"".join(map(own.b_bytes.__getitem__, b)) != given:
-                a.clear(), b.clear()
-        a_sizes, b_sizes = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
-        a = np.array([i for ids in a_ids for i in ids], np.int64)
-        b = np.array([i for ids in b_ids for i in ids], np.int64)
-        if not len(a):
-            self.numbers += [(0, 0, 0, 0)] * len(pieces)
-            self.groups += [b""] * len(pieces)
-            self.pairs += [b""] * len(pieces)
-            return
+        while len(self.numbers) < first + len(pieces):
+            self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)])
+        self.numbers[first : first + len(pieces)] = numbers
+        self.groups += groups
+        self.pairs += pairs
+
+    def _align(self, pieces: list[str]) -> bool:
+        """False, and nothing remembered, if a vocabulary does not give the pieces' bytes back."""
+        own, text = self.own, " ".join(pieces)
+        a = own.first.encode(" " + text, add_special_tokens=False).ids
+        b = own.second.encode(text, num_threads=1)
+        given = (" " + text).encode("utf-8", "surrogatepass")
+        if b"".join(map(own.a_bytes.__getitem__, a)) != given or b"".join(map(own.b_bytes.__getitem__, b)) != given:
+            return False
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         a_ends, b_ends = np.cumsum(own.a_lengths[a]), np.cumsum(own.b_lengths[b])
         terminal = terminal_tokens(a_ends, b_ends)
         order = np.argsort(terminal, kind="stable")  # group by group, in each the first side first
@@ -179,22 +189,21 @@ class Aligner:
         side = order >= len(a)
         last |= ~side & np.append(side[1:], True)
         codes = np.concatenate([a, len(own.a_bytes) + b])[order] * 2 + last
-        text = b"".join(map(own.written.__getitem__, codes.tolist()))
-        text_ends = np.cumsum(own.written_lengths[codes])
+        written = b"".join(map(own.written.__getitem__, codes.tolist()))
+        written_ends = np.concatenate([[0], np.cumsum(own.written_lengths[codes])])
         ends, a_at, b_at = linked_tokens(a_ends, b_ends)
         pairs = (a[a_at] * len(own.b_bytes) + b[b_at]).astype("<u4").tobytes()
-        # where the pieces end: in tokens of each side, in bytes of text, in links, in groups
-        a_last, b_last = np.cumsum(a_sizes), np.cumsum(b_sizes)
-        tokens = a_last + b_last
-        texts = np.concatenate([[0], text_ends])[tokens].tolist()
-        links = np.searchsorted(ends, np.concatenate([[0], a_ends])[a_last], side="right").tolist()
-        groups = np.concatenate([[0], np.cumsum(last & side)])[tokens].tolist()
-        before = (0, 0, 0)
-        for n_a, n_b, now in zip(a_sizes.tolist(), b_sizes.tolist(), zip(texts, links, groups)):
-            self.numbers.append((n_a, n_b, now[2] - before[2], now[1] - before[1]))
-            self.groups.append(text[before[0] : now[0]])
-            self.pairs.append(pairs[4 * before[1] : 4 * now[1]])
-            before = now
+        # where each piece ends: in bytes, and so in tokens of both sides, links and groups
+        piece_ends = np.cumsum([1 + len(p) if p.isascii() else 1 + len(p.encode("utf-8", "surrogatepass")) for p in pieces])
+        a_to, b_to = np.searchsorted(a_ends, piece_ends) + 1, np.searchsorted(b_ends, piece_ends) + 1
+        links_to = np.searchsorted(ends, piece_ends) + 1
+        groups_to = np.concatenate([[0], np.cumsum(last & side)])[a_to + b_to]
+        numbers = np.diff(np.stack([a_to, b_to, groups_to, links_to], axis=1), axis=0, prepend=0)
+        text_to, links_to = [0, *written_ends[a_to + b_to].tolist()], [0, *(4 * links_to).tolist()]
+        self._remember(
+            pieces, numbers, [written[x:y] for x, y in zip(text_to, text_to[1:])], [pairs[x:y] for x, y in zip(links_to, links_to[1:])]
+        )
+        return True
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -216,34 +225,59 @@ def _added_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 class Document:
     """What one text gives: numbers, the groups as bytes, distinct linked pairs and how often."""
 
-    def __init__(self, aligner: Aligner, text: str | None, keep_groups: bool = False):
+    def __init__(self, keep_groups: bool = False):
         self.numbers = np.zeros(4, np.int64)
-        self.keys, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.groups: bytes | None = b"" if keep_groups else None
-        self.digest = ""
-        if not text:
-            return
-        sha, keys, counts, kept, between = hashlib.sha256(), [], [], [], b""
-        for part in stretches(text):
-            places = aligner.places_of(BORDER.split(part))
-            found = np.array([aligner.numbers[p] for p in places], np.int64)
-            if not found[:, 0].all():
-                self.numbers[:] = 0
-                return
-            self.numbers += found.sum(axis=0)
-            groups = between + b"".join(map(aligner.groups.__getitem__, places))[:-1]
-            sha.update(groups)
-            if keep_groups:
-                kept.append(groups)
+        self.sha = hashlib.sha256()
+        self.kept: list[bytes] | None = [] if keep_groups else None
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.reversible = True
+
+    def add(self, aligner: Aligner, pieces: list[str]) -> None:
+        """The next stretch; its pieces are known to the aligner."""
+        places = list(map(aligner.places.__getitem__, pieces))
+        numbers = aligner.numbers[places]
+        self.reversible &= bool(numbers[:, 0].all())
+        if self.reversible:
+            groups = (b";" if self.found else b"") + b"".join(map(aligner.groups.__getitem__, places))[:-1]
+            self.numbers += numbers.sum(axis=0)
+            self.sha.update(groups)
+            if self.kept is not None:
+                self.kept.append(groups)
             pairs = np.frombuffer(b"".join(map(aligner.pairs.__getitem__, places)), "<u4")
-            own, times = np.unique(pairs, return_counts=True)
-            keys.append(own)
-            counts.append(times)
-            between = b";"
+            self.found.append(np.unique(pairs, return_counts=True))
+
+    def finish(self) -> Document:
+        if not self.reversible:
+            self.numbers[:] = 0
+            self.found = []
+        keys, counts = zip(*self.found) if self.found else ((np.zeros(0, np.uint32),), (np.zeros(0, np.int64),))
         self.keys, self.counts = (keys[0], counts[0]) if len(keys) == 1 else _added_up(keys, counts)
-        self.digest = sha.hexdigest()
-        if keep_groups:
-            self.groups = b"".join(kept)
+        self.digest = self.sha.hexdigest() if self.found else ""
+        self.groups = b"".join(self.kept).decode() if self.kept and self.found else ""
+        return self
+
+
+def align_texts(aligner: Aligner, texts: list[str | None], keep_groups: bool = False) -> list[Document]:
+    """Documents in order; the pieces of many texts are learned together."""
+    found = [Document(keep_groups) for _ in texts]
+    waiting: list[tuple[Document, list[str]]] = []
+    size = 0
+
+    def settle() -> None:
+        aligner.learn(p for _, pieces in waiting for p in pieces)
+        for document, pieces in waiting:
+            document.add(aligner, pieces)
+        waiting.clear()
+
+    for document, text in zip(found, texts):
+        for part in stretches(text) if text else ():
+            waiting.append((document, BORDER.split(part)))
+            size += len(part)
+            if size >= LEARNED_CHARS:
+                settle()
+                size = 0
+    settle()
+    return [d.finish() for d in found]
 
 
 # ---------------------------------------------------------------- packed pairs
@@ -281,7 +315,7 @@ def align(documents: DataFrame, first: str, second: str, with_groups: bool = Fal
         for batch in batches:
             for start in range(0, batch.num_rows, LOOKED_UP):
                 part = batch.slice(start, LOOKED_UP)
-                found = [Document(aligner, text.as_py(), with_groups) for text in part.column("text")]
+                found = align_texts(aligner, part.column("text").to_pylist(), with_groups)
                 keys += [d.keys for d in found]
                 held += sum(len(d.keys) for d in found)
                 if held > PAIRS_HELD:
@@ -309,7 +343,7 @@ def _batch(columns: list, with_groups: bool) -> pa.RecordBatch:
 def _rows(ids: pa.Array, found: list[Document], with_groups: bool) -> pa.RecordBatch:
     numbers = np.array([d.numbers for d in found], np.int64).reshape(-1, 4).T
     columns = [ids, *numbers, [d.digest for d in found], [_packed(d.keys, d.counts) for d in found], [None] * len(found)]
-    return _batch(columns + ([[d.groups.decode() for d in found]] if with_groups else []), with_groups)
+    return _batch(columns + ([[d.groups for d in found]] if with_groups else []), with_groups)
 
 
 def _row_of_counts(keys: np.ndarray, counts: np.ndarray, with_groups: bool) -> pa.RecordBatch:
@@ -332,16 +366,15 @@ def pair_counts(aligned: DataFrame, second_size: int) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.sum("n").alias("n_docs"))
 
 
-def write_pair_files(counts: DataFrame, first_size: int, second_size: int) -> str:
-    """Files of sorted pairs, one for each range of first ids: pairs, counts, and 1 where no pair of the id has more."""
+def write_pair_files(counts: DataFrame, second_size: int) -> str:
+    """Files of sorted pairs, all pairs of a first id in one: counts, pairs, and 1 where no pair of the id has more."""
     folder = fresh_folder(counts.sparkSession, "pair-counts")
-    files = -(-first_size // IDS_A_FILE)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), schema=pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n_docs", pa.int64())]))
         a, b, n = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n_docs"))
-        for number in np.unique(a // IDS_A_FILE).tolist():
-            own = np.flatnonzero(a // IDS_A_FILE == number)
+        for number in np.unique(a % FILES).tolist():
+            own = np.flatnonzero(a % FILES == number)
             own = own[np.lexsort((b[own], a[own]))]
             starts = np.flatnonzero(np.diff(a[own], prepend=-1))
             most = np.repeat(np.maximum.reduceat(n[own], starts), np.diff(np.append(starts, len(own))))
@@ -349,8 +382,7 @@ def write_pair_files(counts: DataFrame, first_size: int, second_size: int) -> st
             write_file(folder, f"ids-{number}", [n[own].astype("<i8").tobytes(), keys.tobytes(), (n[own] == most).astype(np.uint8).tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64())], ["n"])
 
-    ranged = counts.repartition(files, F.expr(f"a div {IDS_A_FILE}"))
-    ranged.mapInArrow(written, "n long").agg(F.sum("n")).first()
+    counts.repartition(FILES, F.col("a") % FILES).mapInArrow(written, "n long").agg(F.sum("n")).first()
     return folder
 
 
@@ -358,7 +390,7 @@ class PairFiles:
     """Look-ups in the files of ``write_pair_files``."""
 
     def __init__(self, folder: str, second_size: int):
-        self.folder, self.span = folder, second_size * IDS_A_FILE
+        self.folder, self.second_size = folder, second_size
 
     @staticmethod
     def _bytes(folder: str, name: str) -> np.ndarray:
@@ -370,22 +402,19 @@ class PairFiles:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each pair its count and whether it is among the highest of its first id."""
-        order = np.argsort(keys, kind="stable")
-        ascending = keys[order]
+        by_file = (keys.astype(np.int64) // self.second_size % FILES << 32) + keys
+        order = np.argsort(by_file)
+        edges = np.searchsorted(by_file[order], np.arange(FILES + 1) << 32).tolist()
         counts, best = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        at = 0
-        while at < len(keys):
-            number = int(ascending[at]) // self.span
-            to = int(np.searchsorted(ascending, (number + 1) * self.span))
-            if not file_exists(self.folder, f"ids-{number}"):
-                raise RuntimeError("a pair has no count")
-            data = self._bytes(self.folder, f"ids-{number}")
-            n = len(data) // 13
-            known = data[8 * n : 12 * n].view("<u4")
-            place = np.searchsorted(known, ascending[at:to])
-            counts[order[at:to]] = data[: 8 * n].view("<i8")[place]
-            best[order[at:to]] = data[12 * n :][place]
-            at = to
+        for number, (at, to) in enumerate(zip(edges, edges[1:])):
+            if to > at:
+                if not file_exists(self.folder, f"ids-{number}"):
+                    raise RuntimeError("a pair has no count")
+                data = self._bytes(self.folder, f"ids-{number}")
+                n = len(data) // 13
+                place = np.searchsorted(data[8 * n : 12 * n].view("<u4"), keys[order[at:to]])
+                counts[order[at:to]] = data[: 8 * n].view("<i8")[place]
+                best[order[at:to]] = data[12 * n :][place]
         return counts, best
 
 
@@ -415,5 +444,5 @@ def align_documents(documents: DataFrame, first: str | None = None, second: str
     first, second = first or vocabulary_path(FIRST), second or vocabulary_path(SECOND)
     own = vocabularies(first, second)
     aligned = stored(align(documents, first, second), "aligned")
-    folder = write_pair_files(pair_counts(aligned, len(own.b_bytes)), len(own.a_bytes), len(own.b_bytes))
+    folder = write_pair_files(pair_counts(aligned, len(own.b_bytes)), len(own.b_bytes))
     return with_corpus_counts(aligned, folder, len(own.b_bytes))

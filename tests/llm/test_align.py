@@ -2,7 +2,6 @@ import hashlib
 from collections import Counter
 
 import numpy as np
-import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,9 +76,9 @@ PARTS = ["a", "The", " ", "  ", "\n", "\t ", "\xa0", "é", "é", "'s", "12", "<
 @settings(max_examples=400, deadline=None)
 def test_pieces_give_what_whole_texts_give(text):
     a, b, groups, links = plain(text)
-    found = align.Document(align.Aligner(OWN), text, keep_groups=True)
-    assert found.numbers.tolist() == [len(a), len(b), len(groups), len(links)]
-    assert found.groups.decode() == written(groups)
+    found, again, _ = align.align_texts(align.Aligner(OWN), [text, text, "other words"], keep_groups=True)
+    assert found.numbers.tolist() == again.numbers.tolist() == [len(a), len(b), len(groups), len(links)]
+    assert found.groups == again.groups == written(groups)
     size = len(OWN.b_bytes)
     assert dict(zip(found.keys.tolist(), found.counts.tolist())) == Counter(x * size + y for x, y in links)
 
@@ -116,11 +115,13 @@ def test_nulls_repeats_ties_long_texts_and_clashing_columns(spark, monkeypatch):
 
 def test_stretches_of_a_long_text_join_to_the_whole(monkeypatch):
     monkeypatch.setattr(align.stretches, "__defaults__", (50,))
+    monkeypatch.setattr(align, "LEARNED_CHARS", 60)
+    monkeypatch.setattr(align, "MEMO_PIECES", 3)
     text = "some words with ends, " * 40 + "y" * 300 + " and  more " * 30
     a, b, groups, links = plain(text)
     assert len(list(align.stretches(text))) > 10
-    found = align.Document(align.Aligner(OWN), text, keep_groups=True)
-    assert found.groups.decode() == written(groups) and found.numbers.tolist() == [len(a), len(b), len(groups), len(links)]
+    (found,) = align.align_texts(align.Aligner(OWN), [text], keep_groups=True)
+    assert found.groups == written(groups) and found.numbers.tolist() == [len(a), len(b), len(groups), len(links)]
     assert found.digest == hashlib.sha256(written(groups).encode()).hexdigest()
 
 
@@ -137,9 +138,8 @@ def test_packed_pairs_come_back():
         assert back[0].tolist() == keys.tolist() and back[1].tolist() == counts
 
 
-@pytest.mark.parametrize("first_size", [3, 4])
-def test_highest_counts_and_their_ties_in_the_files(spark, first_size):
+def test_highest_counts_and_their_ties_in_the_files(spark):
     rows = [(0, 1, 5), (0, 2, 5), (0, 3, 4), (2, 0, 9)]
-    folder = align.write_pair_files(spark.createDataFrame(rows, "a int, b int, n_docs long"), first_size, 10)
+    folder = align.write_pair_files(spark.createDataFrame(rows, "a int, b int, n_docs long"), 10)
     counts, best = align.PairFiles(folder, 10).find(np.array([20, 1, 3, 2], np.uint32))
     assert counts.tolist() == [9, 5, 4, 5] and best.tolist() == [1, 1, 0, 1]

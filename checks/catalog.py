@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.session import pin_utc
+from netweave.session import pin_utc, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +40,13 @@ def query(name: str, covers: str, sql: str | None = None):
     return register
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query stores. Only a local session may go without a named shared folder."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="steps-"))
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(value: Column) -> Column:
     """Six digits, and no negative zero."""
     return F.round(value.cast("double"), 6) + F.lit(0.0)

@@ -160,12 +160,26 @@ def train_validation_split(spark, folder):
     return sc.split_exact(predictions(spark, folder), ["timestamp", "_id"]).select("_id", "is_train")
 
 
-@query("random_train_validation_split", "D7")
+DRAWN = "md5(concat('{}|', _id))"
+
+
+@query(
+    "random_train_validation_split",
+    "D7",
+    v.sql(v.PREDICTIONS, f"select _id, row_number() over (order by {DRAWN.format(5)}, _id) <= floor(count(*) over () * 0.8e0) as is_train from predictions"),
+)
 def random_train_validation_split(spark, folder):
     return sc.split_random(predictions(spark, folder), seed=5).select("_id", "is_train")
 
 
-@query("three_way_split", "D8")
+@query(
+    "three_way_split",
+    "D8",
+    v.sql(
+        v.PREDICTIONS + f",\ndrawn as (select _id, cast(concat('0x', substr({DRAWN.format(0)}, 1, 8)) as bigint) / 4294967296e0 as draw from predictions)",
+        "select _id, case when draw < 0.7e0 then 'train' when draw < 0.85e0 then 'validation' else 'test' end as part from drawn",
+    ),
+)
 def three_way_split(spark, folder):
     return sc.split_three_ways(predictions(spark, folder), 0.7, 0.15).select("_id", "part")
 

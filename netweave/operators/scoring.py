@@ -8,6 +8,7 @@ projection runs in Python, on Arrow batches.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +35,7 @@ from netweave.schemas import (
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TRAIN_SHARE = 0.8
+CELLS = SEQUENCE_LENGTH * FEATURE_COUNT
 
 
 def mean_model(training: DataFrame) -> DataFrame:
@@ -84,6 +86,67 @@ class SubspaceModel:
         return F.arrow_udf(errors, "double")
 
 
+    def prefix_scorer(self):
+        """Column function: flat sequence to the errors with no, one, two, ... all of the directions."""
+        mean, directions = self.mean, self.directions
+
+        def errors(flat: pa.Array) -> pa.Array:
+            cells = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), len(mean))
+            rest = cells - mean
+            found = np.empty((len(flat), directions.shape[1] + 1))
+            for rank in range(found.shape[1]):
+                if rank:
+                    direction = directions[:, rank - 1]
+                    rest = rest - np.outer(rest @ direction, direction)
+                distance = np.abs(rest)
+                found[:, rank] = np.where(distance < 1, distance**2 / 2, distance - 0.5).mean(axis=1)
+            ends = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
+
+        errors.__annotations__ = {"flat": pa.Array, "return": pa.Array}
+        return F.arrow_udf(errors, "array<double>")
+
+    def first(self, rank: int) -> SubspaceModel:
+        """The same model with the first ``rank`` directions."""
+        return SubspaceModel(self.mean, self.directions[:, :rank], self.explained[:rank])
+
+
+def untrained_model() -> SubspaceModel:
+    """Reconstructs everything as zeros: what scores while there is no trained model."""
+    return SubspaceModel(np.zeros(CELLS), np.zeros((CELLS, 0)))
+
+
+def fit_directions(training: DataFrame, max_rank: int) -> SubspaceModel:
+    """Mean and leading principal directions for all ranks up to ``max_rank``, from two passes over the training sequences.
+
+    Tasks add up centred products of whole Arrow batches; Spark adds the 192 rows of each task's sum, of which
+    192 x 192 numbers reach the driver.
+    """
+    model = mean_model(training).first()
+    if model is None or not model["reconstruction"]:
+        raise ValueError("there are no training sequences")
+    mean = np.array(model["reconstruction"]).ravel()
+    width = len(mean)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((width, width)), 0
+        for batch in batches:
+            centred = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) - mean
+            total += centred.T @ centred
+            rows += len(centred)
+        columns = [pa.array(np.arange(width), pa.int32()), pa.array(np.full(width, rows), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "n", "cells"])
+
+    parts = training.select(F.flatten("sequence").alias("x")).mapInArrow(products, "i int, n long, cells array<double>")
+    summed = parts.groupBy("i").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("cells", F.lit(j))) for j in range(width)]).alias("cells"))
+    rows = sorted(summed.collect())
+    covariance = np.array([r["cells"] for r in rows]) / max(rows[0]["n"] - 1, 1)
+    values, vectors = np.linalg.eigh(covariance)
+    leading = np.argsort(-values, kind="stable")[:max_rank]
+    shares = values[leading] / values.sum() if values.sum() > 0 else np.zeros(len(leading))
+    return SubspaceModel(mean, vectors[:, leading], [float(v) for v in shares])
+
+
 def fit_subspace(training: DataFrame, rank: int) -> SubspaceModel:
     """Fit on ``training.sequence``; the covariance is summed by Spark, 192 x 192 reaches the driver."""
     flat = training.select(array_to_vector(F.flatten("sequence")).alias("x"))
@@ -108,10 +171,20 @@ def flag(error: Column, threshold: Column | float = ANOMALY_THRESHOLD) -> Column
     return error >= limit
 
 
+def has_score() -> Column:
+    error = F.col("reconstruction_error")
+    return error.isNotNull() & ~F.isnan(error)
+
+
+def without_score(scored: DataFrame) -> DataFrame:
+    """Valid messages that the model gave no number, as for a cell that is null."""
+    return scored.filter(~has_score()).withColumn("reason", F.lit("no_score"))
+
+
 def to_predictions(scored: DataFrame, scored_at: Column, threshold: Column | float = ANOMALY_THRESHOLD) -> DataFrame:
-    """Scored valid messages as prediction records; rows without a score are dropped."""
+    """Scored valid messages as prediction records; rows without a score are those of ``without_score``."""
     return (
-        scored.filter(F.col("reconstruction_error").isNotNull())
+        scored.filter(has_score())
         .withColumn("timestamp", scored_at)
         .withColumn("is_anomaly", flag(F.col("reconstruction_error"), threshold))
         .withColumn("is_false_positive", F.lit(False))
@@ -150,15 +223,20 @@ def split_exact(
     ).drop("_last")
 
 
+def _drawn(seed: int, key: str) -> Column:
+    """A pseudo-random text for each key, the same in every engine."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+
+
 def split_random(rows: DataFrame, share: float = TRAIN_SHARE, seed: int = 0, key: str = "_id") -> DataFrame:
     """Exact-size split in a pseudo-random order that is the same on every run."""
-    drawn = rows.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key)))
+    drawn = rows.withColumn("_draw", _drawn(seed, key))
     return split_exact(drawn, ["_draw", key], share).drop("_draw")
 
 
 def split_three_ways(rows: DataFrame, train: float, validation: float, seed: int = 0, key: str = "_id") -> DataFrame:
     """Train, validation or test by a hash of the key; sizes are approximate."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
+    draw = F.conv(F.substring(_drawn(seed, key), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     part = (
         F.when(draw < train, "train").when(draw < train + validation, "validation").otherwise("test")
     )
@@ -238,23 +316,35 @@ def early_stopping(metrics: DataFrame, patience: int = PATIENCE, rows_per_split:
     )
 
 
+def rank_losses(errors: DataFrame, ranks: int, order: list[str], rows_per_split: int = ROWS_PER_SPLIT) -> list[float]:
+    """Mean of the batch means for each of the first ``ranks`` entries of the array ``errors``; 0 without rows."""
+    placed = ordinals(errors.select(*order, "errors"), order, "_at", rows_per_split=rows_per_split)
+    batch = F.floor((F.col("_at") - 1) / SCORING_BATCH).cast("long").alias("batch_no")
+    batches = placed.groupBy(batch).agg(*[F.avg(F.get("errors", F.lit(k))).alias(f"r{k}") for k in range(ranks)])
+    return list(batches.agg(*[F.coalesce(F.avg(f"r{k}"), F.lit(0.0)) for k in range(ranks)]).first())
+
+
+def best_rank(losses: list[float], patience: int = PATIENCE) -> tuple[int, list[tuple[int, float]]]:
+    """The rank of the lowest loss before the losses stop falling, and the losses looked at."""
+    best, waited = 0, 0
+    for rank, loss in enumerate(losses):
+        if rank and loss < losses[best]:
+            best, waited = rank, 0
+        elif rank:
+            waited += 1
+        if waited >= patience:
+            break
+    return best, list(enumerate(losses[: rank + 1]))
+
+
 def rank_sweep(
     training: DataFrame, validation: DataFrame, max_rank: int, patience: int = PATIENCE
 ) -> tuple[SubspaceModel, list[tuple[int, float]]]:
-    """Fit rank 0, 1, ... until the validation loss stops falling; best model and history.
+    """Ranks 0, 1, ... until the validation loss stops falling; best model and history.
 
-    The loop runs over model sizes only; each step is a distributed fit and score.
+    All ranks share one fit, and one pass over the validation sequences gives the errors of all.
     """
-    best, best_loss, waited, history = None, float("inf"), 0, []
-    for rank in range(max_rank + 1):
-        model = fit_subspace(training, rank)
-        scored = score_by_subspace(validation, model)
-        loss = validation_loss(batch_losses(scored, ["_id"])).first()["loss"]
-        history.append((rank, loss))
-        if loss < best_loss:
-            best, best_loss, waited = model, loss, 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    return best, history
+    model = fit_directions(training, max_rank)
+    scored = validation.select("_id", model.prefix_scorer()(F.flatten("sequence")).alias("errors"))
+    best, history = best_rank(rank_losses(scored, model.rank + 1, ["_id"]), patience)
+    return model.first(best), history

@@ -106,10 +106,16 @@ def sequence_familiarity(placed: DataFrame) -> DataFrame:
 
 
 def _running_familiarity(per_sequence: DataFrame) -> DataFrame:
+    """``_seen_before`` and ``_trained_before``, where given, count what the epoch had shown earlier."""
     so_far = Window.partitionBy(*EPOCH).orderBy("seq_no").rowsBetween(Window.unboundedPreceding, 0)
+
+    def total(name: str) -> Column:
+        here = F.sum(name).over(so_far)
+        return here + F.coalesce(f"{name}_before", F.lit(0)) if f"{name}_before" in per_sequence.columns else here
+
     return (
-        per_sequence.withColumn("seen", F.sum("_seen").over(so_far))
-        .withColumn("trained", F.sum("_trained").over(so_far))
+        per_sequence.withColumn("seen", total("_seen"))
+        .withColumn("trained", total("_trained"))
         .withColumn("familiarity", familiarity(F.col("seen"), F.col("trained")))
     )
 
@@ -150,13 +156,17 @@ def assemble(placed: DataFrame, rule: SequenceRule) -> DataFrame:
     stood there are kept in the readable record only. Vectors and records are
     collected apart, so a plan that needs only one of them does not carry the other.
     """
+    return assemble_marked(mark_new_pairs(placed), rule)
+
+
+def assemble_marked(marked: DataFrame, rule: SequenceRule, before: DataFrame | None = None) -> DataFrame:
+    """The same from packets whose new pairs are flagged; ``before``: per open epoch, what was counted earlier."""
     features = feature_columns()
     vector = F.struct("pos", F.array(*[features[f] for f in FEATURES]).alias("features"))
     human = F.struct("pos", F.struct(*[c.alias(n) for n, c in human_fields().items()]).alias("human"))
     span = (F.max_by("_us", "pos") - F.min_by("_us", "pos")) / F.lit(1e6)
     grouped = (
-        mark_new_pairs(placed)
-        .withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+        marked.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
         .groupBy(*SEQUENCE)
         .agg(
             F.sort_array(F.collect_list(vector)).alias("_vectors"),
@@ -170,6 +180,13 @@ def assemble(placed: DataFrame, rule: SequenceRule) -> DataFrame:
         .withColumn("gap_feature", gap_scaled(F.col("mean_gap")))
     )
 
+    if before is not None:
+        known = before.select(*[F.col(c).alias(f"_known_{c}") for c in EPOCH], "_seen_before", "_trained_before")
+        same = F.lit(True)
+        for name in EPOCH:
+            same = same & F.col(name).eqNullSafe(F.col(f"_known_{name}"))
+        grouped = grouped.join(known, same, "left")
+
     def with_gap(entry: Column) -> Column:
         return F.transform(
             entry["features"], lambda x, i: F.when(i == GAP_FEATURE, F.col("gap_feature")).otherwise(x)
@@ -231,11 +248,19 @@ def scale_matrix(matrix: Column, params: Column) -> Column:
 
 def scale_by_first(sequences: DataFrame, rule: SequenceRule) -> DataFrame:
     """Scale each sequence with the quartiles of the first sequence of its epoch."""
+    return scale_by_params(with_first_params(sequences, rule))
+
+
+def with_first_params(sequences: DataFrame, rule: SequenceRule) -> DataFrame:
+    """Add ``_params``, the quartiles of the epoch's first sequence; null where that one is not there."""
     in_epoch = Window.partitionBy(*EPOCH).orderBy("seq_no").rowsBetween(Window.unboundedPreceding, 0)
     first = F.when(F.col("seq_no") == 0, quartile_params(F.col("unscaled"), rule.length))
+    return sequences.withColumn("_params", F.first(first, ignorenulls=True).over(in_epoch))
+
+
+def scale_by_params(sequences: DataFrame) -> DataFrame:
     return (
-        sequences.withColumn("_params", F.first(first, ignorenulls=True).over(in_epoch))
-        .withColumn("sequence", scale_matrix(F.col("unscaled"), F.col("_params")))
+        sequences.withColumn("sequence", scale_matrix(F.col("unscaled"), F.col("_params")))
         .drop("_params")
     )
 

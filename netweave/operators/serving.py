@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from netweave.functions.text import truncate_text
 from netweave.operators.quality import sample_shape
-from netweave.plans.ordering import ROWS_PER_SPLIT, Total, running
+from netweave.plans.ordering import ROWS_PER_SPLIT, Total, rows_between, running
 from netweave.plans.small import broadcast_if_small
 from netweave.schemas import KEPT_ANOMALIES
+from netweave.sources.topics import TIME_FORMAT
 
 # Page sizes and the newest rows pushed to a client.
 PAGE_SIZE = 10
@@ -47,6 +48,14 @@ def page(rows: DataFrame, number: int = 1, per_page: int = PAGE_SIZE, order: lis
     return rows.orderBy(*(order or ["timestamp", "_id"])).offset((number - 1) * per_page).limit(per_page)
 
 
+def deep_page(
+    rows: DataFrame, number: int, per_page: int = PAGE_SIZE, order: list[str] | None = None, rows_per_split: int = ROWS_PER_SPLIT
+) -> DataFrame:
+    """The rows of ``page`` with their place, wherever the page is: nothing before it is sorted or gathered."""
+    first = (number - 1) * per_page
+    return rows_between(rows, order or ["timestamp", "_id"], first, first + per_page, "place", rows_per_split=rows_per_split)
+
+
 def neighbour_pages(current: Column, total: Column) -> tuple[Column, Column]:
     return F.greatest(current - 1, F.lit(1)), F.least(current + 1, total)
 
@@ -124,9 +133,10 @@ def labeled_records(anomalies: DataFrame, marks: DataFrame, marked_at: Column |
 
     Several copies of an anomaly give one record, the earliest.
     """
-    marked = marks.filter(F.col("_id").isNotNull()).groupBy("_id").agg(F.min("marked_at").alias("marked_at"))
+    marked = marks.filter(F.coalesce(F.col("_id") != "", F.lit(False))).groupBy("_id").agg(F.min("marked_at").alias("marked_at"))
     payload = F.struct(*[c for c in anomalies.columns if c != "_id"])
-    earliest = anomalies.groupBy("_id").agg(F.min_by(payload, "timestamp").alias("a"))
+    asked = anomalies.join(marked.select("_id"), "_id", "left_semi")  # marks are few: payloads of others do not move
+    earliest = asked.groupBy("_id").agg(F.min_by(payload, "timestamp").alias("a"))
     return (
         earliest.join(marked, "_id")
         .select("_id", "marked_at", "a.*")
@@ -181,7 +191,7 @@ def packet_table(sequences: DataFrame) -> DataFrame:
 
 def document_cards(rows: DataFrame) -> DataFrame:
     return rows.select("_id", F.format_string("%.4f", "reconstruction_error").alias("error"), F.to_json(
-        F.struct("familiarity", "is_anomaly", "timestamp"), {"pretty": "true"}
+        F.struct("familiarity", "is_anomaly", "timestamp"), {"pretty": "true", **TIME_FORMAT, "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     ).alias("document"))
 
 

@@ -229,6 +229,37 @@ def row_at(
     )
 
 
+def rows_between(
+    df: DataFrame,
+    order: list[str],
+    first: int,
+    stop: int,
+    name: str = "rank",
+    descending: bool = False,
+    rows_per_split: int = ROWS_PER_SPLIT,
+) -> DataFrame:
+    """The rows at the 0-based positions ``first`` up to before ``stop`` of the whole ordered table, with the 1-based one.
+
+    A directory of rows per piece tells which pieces hold these positions; only those are sorted, each in its own task.
+    """
+    splits = find_splits(df, order, rows_per_split)
+    pieces = df.withColumn(SPLIT, splits.piece().cast("int"))
+    counts = pieces.groupBy(SPLIT).agg(F.count("*").alias("_rows"))
+    along = Window.orderBy(F.desc(SPLIT) if descending else SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    hit = (
+        counts.withColumn("_before", F.coalesce(F.sum("_rows").over(along), F.lit(0)))
+        .filter((F.col("_before") < stop) & (F.col("_before") + F.col("_rows") > first))
+        .select(SPLIT, "_before")
+    )
+    frame = Window.partitionBy(SPLIT).orderBy(*_local_order(order, descending))
+    return (
+        pieces.join(F.broadcast(hit), SPLIT)  # a row per piece of the range at most
+        .withColumn("_at", F.col("_before") + F.row_number().over(frame))
+        .filter((F.col("_at") > first) & (F.col("_at") <= stop))
+        .select(*df.columns, F.col("_at").alias(name))
+    )
+
+
 def sliding(
     df: DataFrame,
     order: list[str],

@@ -19,13 +19,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a file with few splits dealt to all cores, before something wide is made of each; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _props_number() -> Column:
     return F.regexp_extract("props", "[0-9]+", 0).cast("int")
 
 
 def packets(spark: SparkSession, folder: str) -> DataFrame:
     """One header row per event. ``proto`` is null when there is no IP layer."""
-    events = table(spark, folder, "events")
+    events = spread(table(spark, folder, "events"))
     kind, k, event_id = F.col("event_type"), F.col("k"), F.col("event_id")
     proto = (
         F.when(kind.isin("view", "click"), 6)
@@ -80,7 +86,7 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Keyed JSON log, a fixed share of it damaged in one of six ways."""
-    events = table(spark, folder, "events").withColumn("d", F.col("event_id") % 20)
+    events = spread(table(spark, folder, "events")).withColumn("d", F.col("event_id") % 20)
     damage, key = F.col("d"), F.concat(F.lit("m"), F.col("event_id").cast("string"))
     row = "[" + ",".join(["0.1"] * 12) + "]"
     short_row = "[" + ",".join(["0.1"] * 11) + "]"

@@ -37,6 +37,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(documents: DataFrame) -> Column:
+    """All columns of a row as one struct ``given``, so that no name can meet one of an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in documents.columns]).alias("given")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -48,26 +48,31 @@ def family_of(lang: str) -> str:
 
 @cache
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane whether it is a letter."""
-    return np.array([chr(i).isalpha() for i in range(0x10000)])
+    """For each code point whether it is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def ngram_counts(text: str) -> np.ndarray | None:
-    """Counts of hashed n-grams over the whole text, in pieces of bounded size; None without a letter."""
+def ngram_counts(text: str, piece: int = PIECE) -> np.ndarray | None:
+    """Counts of hashed n-grams over the whole text; None without a letter.
+
+    Pieces bound the memory: each goes on behind the last two codes of the one before, and only the text's ends are borders.
+    """
     counts = np.zeros(DIMENSIONS, np.int64)
-    seen = False
-    for start in range(0, len(text), PIECE):
-        codes = np.frombuffer(text[max(0, start - 2) : start + PIECE].lower().encode("utf-32-le", "replace"), np.uint32)
-        letter = np.where(codes < 0x10000, _letters()[codes & 0xFFFF], codes < 0x323B0)
-        if not letter.any():
-            continue
-        seen = True
-        kept = np.where(letter, codes, 32)
-        kept = np.concatenate([[32], kept[letter | np.concatenate([[True], letter[:-1]])], [32]]).astype(np.uint32)
-        pairs = kept[:-1] * np.uint32(0x9E3779B1) + kept[1:] * np.uint32(0x85EBCA77)
-        triples = pairs[:-1] * np.uint32(0xC2B2AE3D) + kept[2:] * np.uint32(0x27D4EB2F)
-        counts += np.bincount(pairs * np.uint32(0x9E3779B1) >> np.uint32(20), minlength=DIMENSIONS)
+    text = text.lower()
+    seen, after_letter, tail = False, True, np.array([32], np.uint32)
+    for start in range(0, len(text), piece):
+        codes = np.frombuffer(text[start : start + piece].encode("utf-32-le", "replace"), np.uint32)
+        letter = _letters()[codes]
+        seen |= bool(letter.any())
+        # of characters that are no letters, one in a row stands for all
+        kept = np.where(letter, codes, 32)[letter | np.concatenate([[after_letter], letter[:-1]])]
+        end = [32] if start + piece >= len(text) else []
+        row = np.concatenate([tail, kept, end]).astype(np.uint32)
+        pairs = row[:-1] * np.uint32(0x9E3779B1) + row[1:] * np.uint32(0x85EBCA77)
+        triples = pairs[:-1] * np.uint32(0xC2B2AE3D) + row[2:] * np.uint32(0x27D4EB2F)
+        counts += np.bincount(pairs[len(tail) - 1 :] * np.uint32(0x9E3779B1) >> np.uint32(20), minlength=DIMENSIONS)
         counts += np.bincount(triples * np.uint32(0x9E3779B1) >> np.uint32(20), minlength=DIMENSIONS)
+        after_letter, tail = bool(letter[-1]), row[-2:]
     return counts if seen else None
 
 

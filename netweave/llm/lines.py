@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweave.llm.common import stored
+from netweave.llm.common import packed, stored
 
 MIN_CHARS = 10
 BLANKS = " \t\x0b\x0c\r"
@@ -103,22 +103,47 @@ def repeated_runs(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame
     )
 
 
-def dedupe_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of ``documents``, the text without later copies, and ``n_lines`` and ``n_deleted`` (lines with content)."""
-    runs = repeated_runs(documents, min_chars).withColumnsRenamed({"doc": "_doc", "version": "_version", "runs": "_runs", "n_deleted": "_deleted"})
-    match = documents["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(documents["text"]) == F.col("_version"))
-    joined = documents.join(runs.hint("shuffle_merge"), match, "left")
-    kept = F.filter(
-        F.transform(_lines(F.col("text")), lambda line, i: F.struct(line.alias("line"), i.alias("i"))),
-        lambda s: ~F.exists("_runs", lambda r: s["i"].between(r["first"], r["last"])),
-    )
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
-    count = F.size(F.filter(_lines(F.col("text")), lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
+def _outside(lines: Column, runs: Column) -> Column:
+    """The lines that no run covers: the stretches before, between and behind the ascending runs."""
+    stops = F.concat(F.transform(runs, lambda r: r["first"]), F.array(F.size(lines)))
+    starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["last"] + 1))
+    return F.flatten(F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda s: F.slice(lines, s["a"] + 1, s["b"] - s["a"])))
+
+
+def _deduped(documents: DataFrame, min_chars: int) -> DataFrame:
+    """``given``, all columns of a row, and its text without later copies, its lines with content and how many of them went."""
+    runs = repeated_runs(documents, min_chars)
+    rows = documents.select(packed(documents), F.col("text").alias("old"))
+    match = F.col("given.doc_id").cast("long").eqNullSafe(F.col("doc")) & (F.xxhash64("old") == F.col("version"))
+    joined = rows.join(runs.hint("shuffle_merge"), match, "left")
+    text = F.when(F.col("runs").isNull(), F.col("old")).otherwise(F.array_join(_outside(_lines(F.col("old")), F.col("runs")), "\n"))
+    count = F.size(F.filter(_lines(F.col("old")), lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
     return joined.select(
-        *[text.alias("text") if c == "text" else documents[c] for c in documents.columns if c not in ("n_lines", "n_deleted")],
-        F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
-        F.coalesce("_deleted", F.lit(0)).cast("long").alias("n_deleted"),
-    )
+        "given", text.alias("text"), F.when(F.col("old").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
+        F.coalesce("n_deleted", F.lit(0)).cast("long").alias("n_deleted"),
+    )
+
+
+def dedupe_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """All columns of ``documents``, the text without later copies, and ``n_lines`` and ``n_deleted`` (lines with content).
+
+    These two names are the operator's: columns of the input that are called so give way. ``clean_rows`` keeps them.
+    """
+    kept = [c for c in documents.columns if c not in ("n_lines", "n_deleted")]
+    found = _deduped(documents, min_chars)
+    return found.select(*[F.col("text") if c == "text" else F.col("given")[c].alias(c) for c in kept], "n_lines", "n_deleted")
+
+
+def clean_rows(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of ``documents`` with cleaned texts, all other columns as they were; rows of which no line is left go.
+
+    A column ``n_chars`` counts the characters of the new text.
+    """
+    found = _deduped(documents, min_chars).filter("n_deleted < n_lines or n_lines = 0")
+    own = {"text": F.col("text")}
+    if "n_chars" in documents.columns:
+        own["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType).alias("n_chars")
+    return found.select(*[own.get(c, F.col("given")[c].alias(c)) for c in documents.columns])
 
 
 #: DuckDB SQL for the same windows, compared as text: windows of 1, 2, 4, ... lines with an earlier equal one.

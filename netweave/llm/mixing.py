@@ -9,7 +9,8 @@ a seeded part of its documents once more. The part is cut at a place in a hash o
 found by sums over hash ranges, so no task sorts a source.
 
 Defined results: null texts have size 0. The null source is a source of its own, last in order.
-Repeated rows are documents of their own that share a place in the hash order and are taken alike.
+Rows of one id and one text share a place in the hash order and are taken alike; all other rows, also without an id,
+have places of their own. Extra columns, whatever their names, stay as they are.
 Sources without words have target 0. An empty table gives an empty table. A document of
 size 0 is taken with 0 words.
 """
@@ -23,7 +24,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import stored, words
+from netweave.llm.common import packed, stored, words
 
 WEIGHTS = (5, 2, 1)
 MAX_TIMES = 3
@@ -122,18 +123,19 @@ def min_cost_flow(capacity: dict, quota: dict, members: dict, costs=COSTS) -> di
 
 
 def _keyed(documents: DataFrame, sources: Column, seed: int) -> DataFrame:
-    """``documents`` with its word count, its sorted sources, their key and its place in the hash order.
+    """``given``, all columns of a row, with its id, word count, sorted sources, their key and its place in the hash order.
 
     In a pattern null stands as "n" and a source as "s" and its name, so that both can be keys.
     """
     marked = F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("s"), s.cast("string")), F.lit("n")))
-    return (
-        documents.withColumn("mix_size", F.size(words(F.col("text"))).cast("long"))
-        .withColumn("mix_pattern", F.array_sort(F.array_distinct(F.coalesce(marked, F.array(F.lit("n"))))))
-        .withColumn("mix_key", F.to_json("mix_pattern"))
+    pattern = F.array_sort(F.array_distinct(F.coalesce(marked, F.array(F.lit("n")))))
+    id_ = F.col("doc_id").cast("long")
+    return documents.select(
+        packed(documents), id_.alias("id"),
+        F.size(words(F.col("text"))).cast("long").alias("mix_size"), pattern.alias("mix_pattern"), F.to_json(pattern).alias("mix_key"),
         # 62 bits, never negative
-        .withColumn("mix_place", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "mix_size"), 2))
-    )
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_, "text"), 2).alias("mix_place"),
+    )
 
 
 def _of_key(values: dict) -> Column:
@@ -219,7 +221,7 @@ def mix(documents: DataFrame, sources: Column, seed: int = 7, weights=WEIGHTS, m
     ``sources`` gives an array of the sources of a row; null entries are the null source.
     """
     small = ["mix_size", "mix_pattern", "mix_key", "mix_place"]
-    rows = stored(_keyed(documents, sources, seed).select(F.col("doc_id").cast("long"), *small), "mixing-sizes")
+    rows = stored(_keyed(documents, sources, seed).select(F.col("id").alias("doc_id"), *small), "mixing-sizes")
     plan = plan_mix(rows, weights, most)
     return rows.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_pattern").alias("pattern"),
@@ -232,7 +234,8 @@ def mix_rows(documents: DataFrame, sources: Column, seed: int = 7, weights=WEIGH
     """The mix itself: rows of ``documents`` as often as they are taken, all columns as they were."""
     rows = _keyed(documents, sources, seed)
     plan = plan_mix(stored(rows.select("mix_size", "mix_pattern", "mix_key", "mix_place"), "mixing-sizes"), weights, most)
-    return rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), plan.copies()))).select(*[rows[c] for c in documents.columns])
+    taken = rows.select("given", F.explode(F.array_repeat(F.lit(1), plan.copies())))
+    return taken.select(*[F.col("given")[c].alias(c) for c in documents.columns])
 
 
 def mix_by_source(documents: DataFrame, seed: int = 7) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweave.llm.common import stored
+from netweave.llm.common import packed, stored
 
 SHINGLE = 4
 #: Sets link when they share so many percent of their union.
@@ -422,6 +422,8 @@ def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each component, that of the least id, with all columns; rows without words stay."""
     found = components(documents).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "parity-kept")
-    first = documents.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    whole = first.filter(F.col("doc_id").isNull() | (F.col("_copy") == 1)).drop("_copy")
-    return whole.join(kept, whole["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = documents.select(packed(documents), F.col("doc_id").cast("long").alias("id"))
+    first = rows.withColumn("copy", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("given.text"))))
+    whole = first.filter(F.col("id").isNull() | (F.col("copy") == 1))
+    chosen = whole.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return chosen.select(*[F.col("given")[c].alias(c) for c in documents.columns])

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from netweave.llm import langid
 from netweave.llm.queries import QUERIES
@@ -41,7 +42,35 @@ def test_nulls_and_empty_tables(spark):
     assert langid.keep_identified(frame).columns == frame.columns and langid.keep_identified(frame).count() == 2
 
 
-def test_long_texts_are_counted_in_pieces(monkeypatch):
-    text = "abc déf, " * 500
-    whole = langid.ngram_counts(text)
-    assert langid.ngram_counts("123 ..") is None and whole.sum() > 500
+def plain_counts(text):
+    """All n-grams of the text at once."""
+    row, last = [32], True
+    for c in text.lower():
+        if c.isalpha() or last:
+            row.append(ord(c) if c.isalpha() else 32)
+        last = c.isalpha()
+    row, mask = [*row, 32], 0xFFFFFFFF
+    counts = np.zeros(langid.DIMENSIONS, np.int64)
+    for i in range(len(row) - 1):
+        pair = (row[i] * 0x9E3779B1 + row[i + 1] * 0x85EBCA77) & mask
+        counts[(pair * 0x9E3779B1 & mask) >> 20] += 1
+        if i + 2 < len(row):
+            triple = (pair * 0xC2B2AE3D + row[i + 2] * 0x27D4EB2F) & mask
+            counts[(triple * 0x9E3779B1 & mask) >> 20] += 1
+    return counts
+
+
+@pytest.mark.parametrize("text", ["abc déf, " * 40, "a", " a", "a ", "..a..b..", "Σίσυφος ΣΑΣ", "x\U00020000y \U0001f600z", "a1b2c3" * 9])
+def test_pieces_do_not_show(text):
+    for piece in (1, 2, 3, 7, 16, 1 << 20):
+        assert langid.ngram_counts(text, piece).tolist() == plain_counts(text).tolist()
+
+
+@pytest.mark.parametrize("text", ["\U0001f600 \U0001f389 !!", "123 ..", "\U0001d7cf\U0001d7d0", "\U00010100\U00010107", "", " \n"])
+def test_texts_without_a_letter(spark, text):
+    assert langid.ngram_counts(text) is None
+    rows = [(i, "the house is big", "en", text) for i in range(20)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string, other string"))
+    (row,) = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert (row["lang_pred"], row["score"]) == ("und", 0.0)
+    assert langid.keep_identified(spark.createDataFrame([(i, text, None) for i in range(3)], "doc_id long, text string, lang string")).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["packets", "sequences", "scoring", "messages", "serving", "pieces", "service"]
+GROUPS = ["packets", "sequences", "scoring", "messages", "serving", "pieces", "service", "streams"]
 
 
 def all_entries():

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,13 @@ def query(name: str, covers: str, sql: str | None = None):
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for what a query stores. Only a local session may go without a named shared folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="steps-"))
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    local = spark.sparkContext.master.startswith("local[") and not spark.conf.get("spark.checkpoint.dir", None)
+    return f"{_own_folder() if local else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="steps-")
 
 
 def r6(value: Column) -> Column:

@@ -216,10 +216,10 @@ def feature_statistics(spark, folder):
           from packets window w as (partition by sensor_id order by ts, packet_id rows 15 preceding)) where n = 16""",
     ),
 )
-def sliding_sequences(spark, folder):
+def sliding_sequences(spark, folder, rule=RULE):
     item = F.struct("packet_id", "packet_size")
     rows = packets(spark, folder).select("sensor_id", "ts", "packet_id", "packet_size")
-    windows = sq.sliding_sequences(rows, RULE, item)
+    windows = sq.sliding_sequences(rows, rule, item)
     total = F.aggregate("sequence", F.lit(0).cast("long"), lambda t, e: t + e["packet_size"])
     return windows.select(
         "packet_id",

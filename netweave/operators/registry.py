@@ -46,16 +46,18 @@ def resolve(requests: DataFrame, registry: DataFrame) -> DataFrame:
     ``latest`` and ``best`` follow the pointers, ``best`` falls back to the latest;
     an unknown version gives no checkpoint, which means an untrained model.
     """
-    marks = pointers(registry)
-    wanted = F.col("requested")
-    concrete = requests.withColumn(
-        "version",
-        F.when(wanted == "latest", marks.select("latest").scalar())
-        .when(wanted == "best", marks.select(F.coalesce("best", "latest")).scalar())
-        .otherwise(wanted),
+    entry = F.struct("version", "checkpoint_path", "validation_loss")
+    latest, best = F.max_by(entry, "seq"), F.max_by(entry, F.when(F.col("is_best"), F.col("seq")))
+    marks = registry.agg(latest.alias("latest"), F.coalesce(best, latest).alias("best"))
+    # the pointers, which most requests use, are two values; only named versions are a join key
+    asked = requests.withColumn(
+        "_entry", F.when(F.col("requested") == "latest", marks.select("latest").scalar()).when(F.col("requested") == "best", marks.select("best").scalar())
     )
-    known = registry.select("version", "checkpoint_path", "validation_loss")
-    return concrete.join(broadcast_if_small(known), "version", "left").withColumn("untrained", F.col("checkpoint_path").isNull())
+    pointed = F.coalesce(F.col("requested").isin("latest", "best"), F.lit(False))
+    followed = asked.filter(pointed).select(*requests.columns, "_entry.*")
+    known = broadcast_if_small(registry.select("version", "checkpoint_path", "validation_loss"))
+    named = requests.filter(~pointed).withColumn("version", F.col("requested")).join(known, "version", "left")
+    return followed.unionByName(named).withColumn("untrained", F.col("checkpoint_path").isNull())
 
 
 def list_checkpoints(spark: SparkSession, folder: str, suffix: str = ".pth") -> DataFrame:

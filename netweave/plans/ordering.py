@@ -13,6 +13,7 @@ others, null keys come first (last where descending), and NaN after every number
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,8 @@ from netweave.functions.search import constant_array, count_not_above
 ROWS_PER_SPLIT = 2_000_000
 MAX_SPLITS = 32_768
 SAMPLE_PER_SPLIT = 200
-SPLIT = "_split"
-GROUP = "_group"
+#: Names of the columns that piece and group stand in meanwhile; no table has them.
+SPLIT, GROUP = (f"{name}_{uuid.uuid4().hex}" for name in ("split", "group"))
 
 
 @dataclass(frozen=True)

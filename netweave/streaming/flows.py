@@ -17,8 +17,8 @@ from netweave.functions.losses import sequence_error
 from netweave.functions.search import constant_array
 from netweave.operators import quality as ql
 from netweave.operators import scoring as sc
-from netweave.schemas import ANOMALY_THRESHOLD
-from netweave.sources import sinks, topics
+from netweave.schemas import ANOMALY_THRESHOLD, FEATURE_COUNT, SEQUENCE_LENGTH
+from netweave.sources import files, sinks, topics
 from netweave.sources.topics import to_topic
 
 
@@ -59,7 +59,11 @@ def score_messages(
     threshold: float = ANOMALY_THRESHOLD,
     scored_at: Column | None = None,
 ) -> DataFrame:
-    """Processed records to prediction records with a model that is fixed at the start."""
+    """Processed records to prediction records with a model that is fixed at the start; an untrained one reconstructs zeros.
+
+    ``streaming.scoring`` has the stage that follows the model store, and gives rejects.
+    """
+    reconstruction = reconstruction or [[0.0] * FEATURE_COUNT] * SEQUENCE_LENGTH
     log = ql.checked(processed, ql.scoring_reason())
     model = constant_array(reconstruction, T.ArrayType(T.DoubleType()))
     scored = ql.valid_messages(log).withColumn("reconstruction_error", sequence_error(F.col("sequence"), model))
@@ -68,8 +72,8 @@ def score_messages(
 
 
 def fixed_model(model: DataFrame) -> list[list[float]]:
-    """The rank-0 model as numbers: one 16 x 12 matrix."""
-    return [list(row) for row in model.first()["reconstruction"]]
+    """The rank-0 model as numbers: one 16 x 12 matrix, or nothing if there was nothing to learn from."""
+    return [list(row) for row in model.first()["reconstruction"] or []]
 
 
 def stored_documents(*stages: tuple[str, int, DataFrame]) -> DataFrame:
@@ -149,10 +153,13 @@ def _trigger(writer, once: bool):
 
 
 def replace_table(path: str):
-    """``foreachBatch`` function for small complete results, such as counters."""
+    """``foreachBatch`` function for small complete results, such as counters; the last two results are kept, for readers of the older one."""
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        written = [int(n.removeprefix("batch=")) for n in files.names(batch.sparkSession, path) if n.startswith("batch=")]
+        for old in sorted(written)[:-2]:
+            files.delete(batch.sparkSession, f"{path}/batch={old}")
 
     return replace
 

@@ -1,4 +1,8 @@
-"""Document fingerprints by winnowing: hashes of word k-grams, the least of every window, with positions.
+"""Document fingerprints by winnowing: rolling hashes of word k-grams, the least of every window, with positions.
+
+Each word is hashed once. The hash of a k-gram is the XOR of its words' hashes, shifted by their place, and is rolled
+together from those of shorter grams; a window's least one is found from those of its two halves. So a word costs a
+few array steps, whatever the lengths of gram and window.
 
 Of each window of ``WINDOW`` consecutive k-gram hashes the least is chosen, the rightmost one where several are
 least; each chosen position is kept once. Two texts that share a run of ``K + WINDOW - 1`` words share a
@@ -24,31 +28,69 @@ from netweave.plans.once import computed_once
 
 K = 5
 WINDOW = 8
-ROWS_PER_BAND = 1000
+#: A band has so many rows, between the two, as give four bands for each shuffle partition.
+LEAST_BAND, LARGEST_BAND = 1000, 100_000
 #: Null ids are dealt to so many bands by the hash of their text.
 NULL_BANDS = 64
 TRIMMED = " \t\n\x0b\x0c\r"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _joined(left: Column, right: Column, shift: int, join) -> Column:
+    """Each entry of ``left`` with that of ``right`` which stands ``shift`` places on."""
+    n = F.greatest(F.size(right) - shift, F.lit(0))
+    return F.zip_with(F.slice(left, 1, n), F.slice(right, shift + 1, n), join)
+
+
+def _rolled(hashes: Column, k: int) -> Column:
+    """Hashes of the k-grams: those of 2w words from two of w, those of w + 1 words from one of w and a word."""
+
+    def wider(grams: Column, width: int, bits: str) -> Column:
+        if not bits:
+            return grams
+        twice = _joined(grams, grams, width, lambda a, b: F.shiftleft(a, width).bitwiseXOR(b))
+        if bits[0] == "0":
+            return _let(twice, lambda g: wider(g, 2 * width, bits[1:]))
+        more = _let(twice, lambda g: _joined(g, hashes, 2 * width, lambda a, b: F.shiftleft(a, 1).bitwiseXOR(b)))
+        return _let(more, lambda g: wider(g, 2 * width + 1, bits[1:]))
+
+    return wider(hashes, 1, bin(k)[3:])
+
+
+def _rightmost_least(a: Column, b: Column) -> Column:
+    return F.when(b["hash"] <= a["hash"], b).otherwise(a)
+
+
+def _chosen(marks: Column, window: int) -> Column:
+    """The rightmost least mark of every window, each once; a list that is no longer than a window is one window."""
+
+    def wider(found: Column, width: int) -> Column:
+        if width == window:
+            return F.filter(found, lambda m, i: (i == 0) | (m["position"] != F.get(found, i - 1)["position"]))
+        shift = min(width, window - width)  # two stretches that cover the wider one
+        return _let(_joined(found, found, shift, _rightmost_least), lambda f: wider(f, width + shift))
+
+    whole = F.array(F.aggregate(marks, F.get(marks, F.lit(0)), _rightmost_least))
+    return F.when(F.size(marks) <= window, whole).otherwise(wider(marks, 1))
+
+
+def _marks_of(found: Column) -> Column:
+    """Marks of a text's words, of which there is one at least."""
+    short = F.array(F.xxhash64(found))
+    grams = F.when(F.size(found) < K, short).otherwise(_let(F.transform(found, lambda w: F.xxhash64(w)), lambda h: _rolled(h, K)))
+    marks = _let(grams, lambda g: F.transform(g, lambda h, i: F.struct(i.alias("position"), h.alias("hash"))))
+    return _let(marks, lambda m: _chosen(m, WINDOW))
+
+
 def with_fingerprint(df: DataFrame, text: str, marks: str) -> DataFrame:
     """Add ``marks``: an array of (position, hash) structs, positions counted in words from 0."""
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(TRIMMED))
-    found = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
-    df = computed_once(df, _words=found)
-    last_gram = F.greatest(F.size("_words") - K, F.lit(0))
-    grams = F.when(
-        F.size("_words") > 0,
-        F.transform(F.sequence(F.lit(0), last_gram), lambda i: F.xxhash64(F.slice("_words", i + 1, K))),
-    ).otherwise(F.array().cast("array<long>"))
-    df = computed_once(df, _grams=grams)
-    last_window = F.greatest(F.size("_grams") - WINDOW, F.lit(0))
-    windows = F.transform(F.sequence(F.lit(0), last_window), lambda s: F.slice("_grams", s + 1, WINDOW))
-    # the rightmost least of the window that starts at s
-    chosen = F.transform(windows, lambda w, s: (s + F.size(w) - F.array_position(F.reverse(w), F.array_min(w))).cast("int"))
-    places = F.when(F.size("_grams") > 0, F.array_distinct(chosen)).otherwise(F.array().cast("array<int>"))
-    df = computed_once(df, _places=places)
-    pairs = F.transform("_places", lambda p: F.struct(p.alias("position"), F.get("_grams", p).alias("hash")))
-    return computed_once(df, **{marks: pairs}).drop("_words", "_grams", "_places")
+    own = F.when(trimmed != "", _let(F.split(trimmed, SPACES), _marks_of))
+    return computed_once(df, **{marks: F.coalesce(own, F.array().cast("array<struct<position:int,hash:bigint>>"))})
 
 
 def fingerprint(documents: DataFrame) -> DataFrame:
@@ -72,10 +114,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
 
 
-def _banded(documents: DataFrame, rows_per_band: int) -> DataFrame:
+def _banded(documents: DataFrame, rows_per_band: int | None) -> DataFrame:
     """Bands of neighbouring ids of about equal size; higher bands have higher ids, null ids the negative bands."""
     base = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     total = base.count()
+    if rows_per_band is None:
+        tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows_per_band = min(max(total // (4 * tasks), LEAST_BAND), LARGEST_BAND)
     shares = max(1, total // rows_per_band)
     cuts: list[int] = []
     if shares > 1:
@@ -88,7 +133,7 @@ def _banded(documents: DataFrame, rows_per_band: int) -> DataFrame:
     return base.withColumn("band", F.when(F.col("doc_id").isNull(), nulls).otherwise(inside))
 
 
-def compare_with_next(documents: DataFrame, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:
+def compare_with_next(documents: DataFrame, rows_per_band: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text: its last third replaced from the next document.
 
     Rows are dealt to bands of ids once; inside a band the next row is the following one. What the last
@@ -99,7 +144,7 @@ def compare_with_next(documents: DataFrame, rows_per_band: int = ROWS_PER_BAND)
     first = F.min(F.struct(F.bitwise_not("doc_id").alias("order"), F.col("text_hash"))).alias("first")
     tops = rows.groupBy("band").agg(first).select("band", "first.*").orderBy(F.desc("band")).collect()
     follows = [(tops[(i + 1) % len(tops)][0], top[0]) for i, top in enumerate(tops)]
-    # one row of four numbers per band
+    # one row of four numbers per band, of up to LARGEST_BAND rows each
     heads = spark.createDataFrame([tuple(t) for t in tops], "head_band int, head_order long, head_hash long").join(
         spark.createDataFrame(follows, "head_band int, before int"), "head_band"
     )

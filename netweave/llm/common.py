@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 from pyarrow import fs as pafs
@@ -17,12 +20,16 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one only for a local session that names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or _own_folder()).rstrip("/")
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="shared-")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -34,7 +41,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def release(spark: SparkSession, *steps: DataFrame) -> None:
+    """Remove stored steps that nothing reads any more, and let Spark drop shuffle files that no plan refers to.
+
+    Spark's cleaner learns of dead plans from the driver's garbage collection, which seldom runs by itself in short jobs.
+    """
+    for step in steps:
+        path = spark._jvm.org.apache.hadoop.fs.Path(step.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Batches of so many rows between Spark and Python for what runs inside, where rows are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def packed(documents: DataFrame) -> Column:

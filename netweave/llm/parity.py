@@ -5,7 +5,7 @@ A document's set of 4-word shingles is hashed to 64-bit tokens. Two bit sketches
 * Block words. The hash range is cut into as many blocks as the size band asks for; a block's word is
   the XOR of its tokens (one parity bit each, and the whole hashes). A token changes one block, so the
   number of differing blocks is at most the symmetric difference. Sets that link differ in at most
-  ``d`` tokens, so with ``d + 1 + SLACK`` blocks some non-empty block is equal: the pigeonhole join.
+  ``d`` tokens, so with ``d + 1 + slack`` blocks some non-empty block is equal: the pigeonhole join.
 * A parity bit vector of a power-of-two length, at least 8 bits a token and 4096 in all. Its Hamming distance is at
   most the symmetric difference, too; candidates beyond the bound are dropped.
 
@@ -19,8 +19,11 @@ that could link two components is left out, and copies are never expanded into p
 one node, named by a 64-bit hash of the set.
 
 Two sets of a band pair meet in the band of the smaller one; a set is sketched for its own band and for those
-below whose sets could be as large as 85 % of it. An empty block says nothing; a set with more than
-``SLACK`` of them joins on them as well, which keeps the pigeonhole whole.
+below whose sets could be as large as 85 % of it. An empty block says nothing. The slack grows with the band, so that
+about one set in ten thousand has more empty blocks than that; it joins on them as well, which keeps the pigeonhole whole.
+
+Keys are cut to as many bits as the number of keys asks for; what meets by chance does not pass the vectors. Steps that
+nothing reads any more are removed as the work goes on.
 
 Defined results: null and empty texts, or texts without words, have size 0, link with nothing
 and are their own component. Shorter texts are one shingle. Repeated rows and rows of one doc_id each get
@@ -38,13 +41,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweave.llm.common import packed, stored
+from netweave.llm.common import packed, release, small_batches, stored
 
 SHINGLE = 4
 #: Sets link when they share so many percent of their union.
 MIN_SHARE = 85
-BAND_RATIO = 1.3
-SLACK = 2
+BAND_RATIO = 1.5
+#: Blocks beyond the pigeonhole's: some, and a share of the differences.
+SLACK, SLACK_SHARE = 2, 0.05
+#: So many bits more than it takes to count all keys: one key in 256 meets another by chance at most.
+SPARE_BITS = 8
 BITS_PER_TOKEN = 8
 #: In a short text a single collision is a large share of the bound, so no vector is shorter.
 LEAST_BITS = 4096
@@ -95,9 +101,17 @@ def _edges() -> np.ndarray:
 EDGES = _edges()
 
 
-def block_count(band: int) -> int:
+def _differences(band: int) -> int:
     top = int(EDGES[band + 1]) - 1
-    return largest_difference(top, top * 100 // MIN_SHARE) + 1 + SLACK
+    return largest_difference(top, top * 100 // MIN_SHARE)
+
+
+def slack(band: int) -> int:
+    return SLACK + int(SLACK_SHARE * _differences(band))
+
+
+def block_count(band: int) -> int:
+    return _differences(band) + 1 + slack(band)
 
 
 def bands(n: int) -> range:
@@ -114,7 +128,7 @@ def block_keys(tokens: np.ndarray, band: int) -> np.ndarray:
     parity, whole = np.zeros(blocks, np.uint64), np.zeros(blocks, np.uint64)
     parity[at] = np.bitwise_xor.reduceat(np.uint64(1) << (tokens & np.uint64(63)), starts)
     whole[at] = np.bitwise_xor.reduceat(tokens, starts)
-    chosen = at if blocks - len(at) <= SLACK else np.arange(blocks)
+    chosen = at if blocks - len(at) <= slack(band) else np.arange(blocks)
     block = chosen.astype(np.uint64) + (np.uint64(band) << np.uint64(44))
     return mixed(mixed(mixed(block) + parity[chosen] * MIX_B) + whole[chosen])
 
@@ -144,20 +158,25 @@ def folded(vectors: np.ndarray, words: int) -> np.ndarray:
 
 def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names, sizes, vectors = [], [], []
+        names, sizes, vectors, keys = [], [], [], []
         for value in batch.column("text"):
             tokens = shingles(value.as_py())
             names.append(set_name(tokens) if len(tokens) else None)
             sizes.append(len(tokens))
             vectors.append(bit_vector(tokens).tobytes() if len(tokens) else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(vectors, pa.binary())],
-            ["doc_id", "node", "n", "bits"],
-        )
+            keys.append(sum(map(block_count, bands(len(tokens)))) if len(tokens) else 0)
+        columns = [batch.column("doc_id"), *[pa.array(c, t) for c, t in ((names, pa.int64()), (sizes, pa.int64()), (vectors, pa.binary()), (keys, pa.int64()))]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bits", "n_keys"])
+
 
+def key_bits(keys: int) -> int:
+    """Whole bytes, as many as so many keys need."""
+    return min(64, -(-(max(keys, 1).bit_length() + SPARE_BITS) // 8) * 8)
 
-def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _key_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # equal sets met lately in this task give their keys once
+    mask = np.uint64(((1 << bits) - 1) << (64 - bits))
     for batch in batches:
         keys, nodes = [], []
         for value in batch.column("text"):
@@ -168,7 +187,7 @@ def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.clear()
             seen.add(name)
             for band in bands(len(tokens)):
-                keys.append(block_keys(tokens, band))
+                keys.append(block_keys(tokens, band) & mask)
                 nodes.append(np.full(len(keys[-1]), name, np.int64))
             if sum(map(len, keys[-2:])) and len(keys) > 512:
                 yield _keys(keys, nodes)
@@ -294,6 +313,8 @@ def _compare(tasks: DataFrame, payload: DataFrame, test: Callable) -> DataFrame:
             yield _pairs(out)
         if held:
             yield _pairs(one(held))
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     ordered = tasks.join(payload, "node").select("task", "side", "node", "label", "n", "data")
     return ordered.repartition("task").sortWithinPartitions("task", "node").mapInArrow(batches, "task long, a long, b long")
@@ -321,6 +342,7 @@ def _star_tasks(pairs: DataFrame) -> DataFrame:
 
 def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that link, by their token sets, which are made anew for the documents in question only."""
+    spark = documents.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     firsts = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))  # before the join, copies are many
     ids = stored(firsts.join(wanted, "node", "left_semi"), "parity-ids")
@@ -329,40 +351,56 @@ def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataF
         first = F.broadcast(first)
     chosen = documents.join(first, documents["doc_id"].eqNullSafe(F.col("first_id")), "left_semi")
     sets = chosen.select("text").mapInArrow(_set_batches, "node long, n long, data binary").dropDuplicates(["node"])
-    return stored(_compare(_star_tasks(pairs), sets.join(ids.select("node"), "node", "left_semi"), _exact_pairs).transform(_distinct), "parity-links")
+    found = stored(_compare(_star_tasks(pairs), sets.join(ids.select("node"), "node", "left_semi"), _exact_pairs).transform(_distinct), "parity-links")
+    release(spark, ids)
+    return found
 
 
 def connected(links: DataFrame) -> DataFrame:
     """node and label (the least node of its component) of every node in ``links`` (a, b)."""
+    spark = links.sparkSession
     edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = stored(labels, "labels")
+    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    last = labels
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         moved = stored(moved.join(up, "label").select("node", "old", F.least("label", "above").alias("label")), "labels")
         labels = moved.select("node", "label")
-        if moved.filter("label != old").isEmpty():
+        done = moved.filter("label != old").isEmpty()
+        release(spark, last, *([edges] if done else []))
+        last = moved
+        if done:
+            labels.stored_at = moved.stored_at
             return labels
 
 
 def components(documents: DataFrame) -> DataFrame:
     """doc_id, size of the shingle set, and component of every row."""
+    with small_batches(documents.sparkSession):  # a row is a text, or a set of 8 bytes a shingle
+        return _components(documents)
+
+
+def _components(documents: DataFrame) -> DataFrame:
+    spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long"), "text")
-    nodes = stored(documents.mapInArrow(_node_batches, "doc_id long, node long, n long, bits binary"), "parity-nodes")
+    nodes = stored(documents.mapInArrow(_node_batches, "doc_id long, node long, n long, bits binary, n_keys long"), "parity-nodes")
     full = nodes.filter("node is not null")
     bits = full.select("node", "n", F.col("bits").alias("data")).dropDuplicates(["node"])
 
+    width = key_bits(nodes.agg(F.sum("n_keys")).first()[0] or 0)
     by_key = Window.partitionBy("key")
-    keys = documents.select("text").mapInArrow(_key_batches, "key long, node long").repartition("key").dropDuplicates(["key", "node"])
-    members = keys.withColumns({
+    keys = documents.select("text").mapInArrow(lambda batches: _key_batches(batches, width), "key long, node long")
+    members = keys.repartition("key").dropDuplicates(["key", "node"]).withColumns({
         "together": F.count(F.lit(1)).over(by_key), "hub": F.min("node").over(by_key),
     }).filter("together > 1")
     members = stored(members, "parity-members")
+    release(spark)
 
     stars = members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     near = stored(_distinct(_compare(_star_tasks(stars), bits, _hamming_pairs)), "parity-near")
+    release(spark)
     links = _verified(documents, nodes, near)
     labels = connected(links)
 
@@ -371,27 +409,35 @@ def components(documents: DataFrame) -> DataFrame:
         members.filter("together > 2 and node != hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         .withColumns({"low": F.min("label").over(by_key), "high": F.max("label").over(by_key)}).filter("low != high")
     )
-    tasks = stored(_group_tasks(open_members), "parity-tasks")
+    tasks = _group_tasks(open_members)
+    release(spark, members)
     forest = stored(_compare(tasks, bits, _forest), "parity-forest")
+    release(spark)
     tried = near
     if not forest.isEmpty():
         more = _verified(documents, nodes, _distinct(forest).join(near, ["a", "b"], "left_anti"))
-        links = stored(links.unionByName(more), "parity-links")
-        labels = connected(links)
+        both = stored(links.unionByName(more), "parity-links")
+        release(spark, links, more, labels)
+        links, labels = both, connected(both)
         tried = near.unionByName(_distinct(forest)).distinct()
     # where a pair of the forest does not link, other candidates of its task may still do so
     failed = forest.join(links, ["a", "b"], "left_anti").select("task").distinct()
     again = tasks.join(failed, "task", "left_semi").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = stored(_distinct(_compare(again, bits, _hamming_pairs)).join(tried, ["a", "b"], "left_anti"), "parity-rest")
+    release(spark, tasks, forest, near)
     if not rest.isEmpty():
-        links = stored(links.unionByName(_verified(documents, nodes, rest)), "parity-links")
-        labels = connected(links)
+        more = _verified(documents, nodes, rest)
+        both = stored(links.unionByName(more), "parity-links")
+        release(spark, links, more, labels)
+        links, labels = both, connected(both)
 
     classes = full.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(labels, "node", "left")
     classes = classes.select("node", "first_id", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = stored(classes.join(least, "label").select("node", "component_id"), "parity-classes")
-    return nodes.select("doc_id", "node", F.col("n").alias("n_shingles")).join(classes, "node", "left").select(
+    rows = stored(nodes.select("doc_id", "node", F.col("n").alias("n_shingles")), "parity-rows")
+    release(spark, links, labels, rest, nodes)
+    return rows.join(classes, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
@@ -415,7 +461,10 @@ def _group_tasks(members: DataFrame) -> DataFrame:
     sides = pairs.select("task", "key", "chunk", F.when(F.col("chunk") == F.col("chunk2"), 2).otherwise(0).alias("side")).unionByName(
         pairs.filter("chunk != chunk2").select("task", "key", F.col("chunk2").alias("chunk"), F.lit(1).alias("side"))
     )
-    return placed.select("key", "chunk", "node", "label").join(sides, ["key", "chunk"]).select("task", "side", "node", "label")
+    found = placed.select("key", "chunk", "node", "label").join(sides, ["key", "chunk"]).select("task", "side", "node", "label")
+    found = stored(found, "parity-tasks")
+    release(members.sparkSession, chunks)
+    return found
 
 
 def keep_one(documents: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from netweave.llm import parity
+from netweave.llm import common, parity
 from netweave.llm.queries import QUERIES
 
 
@@ -94,6 +94,30 @@ def test_linked_sets_always_share_a_block():
         assert distance <= len(tokens) + len(other) - 2 * shared
 
 
+def test_unrelated_sets_hardly_meet():
+    """Pairs inside blocks stay far below those of all sets, also where sets are large and have empty blocks."""
+    generator = np.random.default_rng(5)
+    for size, sets in ((1_600, 200), (5_000, 120), (20_000, 60)):
+        keys = []
+        for _ in range(sets):
+            tokens = np.unique(generator.integers(0, (1 << 64) - 1, size + int(generator.integers(0, size // 10)), dtype=np.uint64))
+            keys.append(np.unique(np.concatenate([parity.block_keys(tokens, b) for b in parity.bands(len(tokens))])))
+        _, together = np.unique(np.concatenate(keys), return_counts=True)
+        assert (together * (together - 1) // 2).sum() <= sets // 20
+
+
+def test_keys_are_as_wide_as_their_number_asks_for():
+    assert [parity.key_bits(n) for n in (0, 1, 255, 10**6, 33 * 10**6, 2 * 10**9, 10**13, 1 << 62)] == [16, 16, 16, 32, 40, 40, 56, 64]
+
+
+def test_steps_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared", lambda _: str(tmp_path))
+    texts = [t for seed in range(4) for t in family(seed, 12, 80, 4)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert found(frame) == plain_components(list(enumerate(texts)))
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} == {"parity-classes", "parity-rows"}
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     text = "one two three four five six"
     frame = spark.createDataFrame(

@@ -6,7 +6,8 @@ at hand, ends at the last token of the token's component. Tokens with one termin
 shortest stretches of both sides that cover the same bytes. Pairs of tokens that share bytes are links.
 
 Neither vocabulary merges across a single space between two visible characters (the reader checks the piece
-vocabulary for it), so a text is aligned in pieces cut there, and a piece that was met before is not aligned again.
+vocabulary for it), so a text is aligned in pieces cut there, and a piece that was met before is not aligned again. Pieces of
+settled characters go through a faster reader of the first vocabulary, built from the same file; it merges in the same order.
 
 1. Each split aligns its documents and writes, per document, counts, the digest of the groups and the distinct
    linked id pairs; and per some thousand documents how many of them hold each pair.
@@ -28,6 +29,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +43,14 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Where a text may be cut: a space between two characters that no tokenizer takes for white space.
 BORDER = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 PLAIN, SPACE_SIGN = re.compile(r"[\w!-~]"), "▁"
+#: Visible ends, and only characters whose class no version of Unicode has changed: what two readers of the first vocabulary cut alike.
+SETTLED = re.compile(r"(?=[\w!-~])[ -~\n\xa1-\u024f]*(?<=[\w!-~])\Z")
+# Fixed value: how byte-level vocabularies cut texts before they merge.
+BYTE_LEVEL_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer texts are aligned in stretches of about so many characters.
 STRETCH = 1 << 20
-#: A worker remembers at most about so many pieces, and so many of their characters.
-MEMO_PIECES, MEMO_CHARS = 200_000, 8 << 20
+#: A worker remembers at most about so many pieces (some 400 bytes each), and so many of their characters.
+MEMO_PIECES, MEMO_CHARS = 500_000, 16 << 20
 #: Pieces of texts of about so many characters are learned together.
 LEARNED_CHARS = 1 << 19
 #: Distinct pairs that a split collects before it hands their counts on.
@@ -89,20 +95,39 @@ class Vocabularies:
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         alphabet = _byte_alphabet()
         with open(first, encoding="utf-8") as f:
-            names = {i: token for token, i in json.load(f)["model"]["vocab"].items()}
+            given = json.load(f)
+        names = {i: token for token, i in given["model"]["vocab"].items()}
         self.a_bytes = [bytes(alphabet[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
+        self.quick = _quick_reader(given, self.a_bytes)
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece of the second vocabulary goes on behind a space, so texts cannot be cut at spaces")
         self.b_bytes = [bytes.fromhex(p[3:5]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.a_lengths = np.array([len(b) for b in self.a_bytes], np.int64)
         self.b_lengths = np.array([len(b) for b in self.b_bytes], np.int64)
+        #: whether settled characters come back from the second vocabulary as they were
+        settled = "".join(chr(c) for c in range(0x250) if SETTLED.match(f"a{chr(c)}a"))
+        self.faithful = b"".join(map(self.b_bytes.__getitem__, self.second.encode(settled))) == (" " + settled).encode()
         #: an id with what follows it: another id of its side, or the end of its side of the group
         self.written = [b"%d%s" % (i, end) for i in range(len(self.a_bytes)) for end in (b",", b"|")]
         self.written += [b"%d%s" % (i, end) for i in range(len(pieces)) for end in (b",", b";")]
         self.written_lengths = np.array([len(w) for w in self.written], np.int64)
 
 
+def _quick_reader(given: dict, token_bytes: list[bytes]):
+    """A faster reader of the same byte-level vocabulary; None where its ids are not in the order of its merges."""
+    import tiktoken
+
+    vocabulary, merges = given["model"]["vocab"], given["model"]["merges"]
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+    reader = given["pre_tokenizer"] or {}
+    in_order = all(vocabulary.get(token) == 256 + i for i, token in enumerate(joined))
+    if not in_order or given["normalizer"] or reader.get("type") != "ByteLevel" or not reader.get("use_regex") or reader.get("add_prefix_space"):
+        return None
+    ranks = {token_bytes[i]: i for i in range(256 + len(merges))}
+    return tiktoken.Encoding("first", pat_str=BYTE_LEVEL_CUTS, mergeable_ranks=ranks, special_tokens={})
+
+
 @cache
 def vocabularies(first: str, second: str) -> Vocabularies:
     return Vocabularies(first, second)
@@ -154,14 +179,21 @@ class Aligner:
         if len(self.places) > MEMO_PIECES or self.chars > MEMO_CHARS:
             self.clear()
         missing = [p for p in dict.fromkeys(pieces) if p not in self.places]
-        plain = [p for p in missing if PLAIN.match(p) and PLAIN.match(p, len(p) - 1) and SPACE_SIGN not in p]
-        if plain and not self._align(plain):
-            plain = []
-        if len(plain) < len(missing):
-            known = set(plain)
-            for piece in missing:
-                if piece not in known and not self._align([piece]):
-                    self._remember([piece], np.zeros((1, 4), np.int64), [b""], [b""])
+        settled, plain, others = [], [], []
+        quick_reader = self.own.quick is not None and self.own.faithful
+        for piece in missing:
+            if quick_reader and SETTLED.match(piece):
+                settled.append(piece)
+            elif PLAIN.match(piece) and PLAIN.match(piece, len(piece) - 1) and SPACE_SIGN not in piece:
+                plain.append(piece)
+            else:
+                others.append(piece)
+        for group, quick in ((settled, True), (plain, False)):
+            if group and not self._align(group, quick):
+                others += group
+        for piece in others:
+            if not self._align([piece]):
+                self._remember([piece], np.zeros((1, 4), np.int64), [b""], [b""])
 
     def _remember(self, pieces: list[str], numbers: np.ndarray, groups: list[bytes], pairs: list[bytes]) -> None:
         first = len(self.groups)
@@ -173,13 +205,16 @@ class Aligner:
         self.groups += groups
         self.pairs += pairs
 
-    def _align(self, pieces: list[str]) -> bool:
-        """False, and nothing remembered, if a vocabulary does not give the pieces' bytes back."""
+    def _align(self, pieces: list[str], quick: bool = False) -> bool:
+        """False, and nothing remembered, if a vocabulary does not give the pieces' bytes back.
+
+        Of settled characters, which the quick reader is for, that is known beforehand.
+        """
         own, text = self.own, " ".join(pieces)
-        a = own.first.encode(" " + text, add_special_tokens=False).ids
-        b = own.second.encode(text, num_threads=1)
         given = (" " + text).encode("utf-8", "surrogatepass")
-        if b"".join(map(own.a_bytes.__getitem__, a)) != given or b"".join(map(own.b_bytes.__getitem__, b)) != given:
+        a = own.quick.encode_ordinary(" " + text) if quick else own.first.encode(" " + text, add_special_tokens=False).ids
+        b = own.second.encode(text, num_threads=1)
+        if not quick and (b"".join(map(own.a_bytes.__getitem__, a)) != given or b"".join(map(own.b_bytes.__getitem__, b)) != given):
             return False
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         a_ends, b_ends = np.cumsum(own.a_lengths[a]), np.cumsum(own.b_lengths[b])
@@ -206,6 +241,12 @@ class Aligner:
         return True
 
 
+@cache
+def aligner_of(first: str, second: str) -> Aligner:
+    """One for all tasks of a worker, so that what is remembered serves the next task, too."""
+    return Aligner(vocabularies(first, second))
+
+
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     """The text without the spaces at which it is cut; each stretch ends at a border."""
     at = 0
@@ -264,7 +305,7 @@ def align_texts(aligner: Aligner, texts: list[str | None], keep_groups: bool = F
     size = 0
 
     def settle() -> None:
-        aligner.learn(p for _, pieces in waiting for p in pieces)
+        aligner.learn(chain.from_iterable(pieces for _, pieces in waiting))
         for document, pieces in waiting:
             document.add(aligner, pieces)
         waiting.clear()
@@ -310,7 +351,7 @@ def align(documents: DataFrame, first: str, second: str, with_groups: bool = Fal
     """
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(vocabularies(first, second))
+        aligner = aligner_of(first, second)
         keys, counts, held = [], [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, LOOKED_UP):

@@ -83,6 +83,16 @@ def test_pieces_give_what_whole_texts_give(text):
     assert dict(zip(found.keys.tolist(), found.counts.tolist())) == Counter(x * size + y for x, y in links)
 
 
+@given(st.lists(st.one_of(st.text(st.characters(max_codepoint=0x24F), max_size=8), st.text(max_size=4), st.sampled_from(["'ll", "don't", "'S", " 12", "½³ª"])), max_size=12).map(" ".join))
+@settings(max_examples=400, deadline=None)
+def test_the_quick_reader_cuts_like_the_other(text):
+    a, b, groups, links = plain(text)
+    (found,) = align.align_texts(align.Aligner(OWN), [text], keep_groups=True)
+    assert found.groups == written(groups) and found.numbers.tolist() == [len(a), len(b), len(groups), len(links)]
+    if align.SETTLED.match(text):
+        assert OWN.quick.encode_ordinary(" " + text) == A.encode(" " + text, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(1, 6), min_size=1, max_size=60), st.data())
 @settings(max_examples=200, deadline=None)
 def test_terminals_are_the_components(steps, data):

@@ -26,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, AFTER_ROLE, CLOSE = "### ", ": ", " </turn>\n"
@@ -160,3 +160,22 @@ def digests(turns: DataFrame) -> DataFrame:
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     return digests(format_turns(conversations))
+
+
+def loss_spans(turns: DataFrame) -> DataFrame:
+    """Rendered turns with where each stands in its conversation's formatted text, and which characters of it are learned.
+
+    ``begin`` and ``end`` are the turn's, ``loss_begin`` and ``loss_end`` those of an assistant's text as it stands there,
+    escapes included; null for other roles. Code points from 0, ends exclusive. The formatted text is the
+    ``rendered`` turns in order of ``begin``.
+    """
+    order = [F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), F.col("rendered")]
+    size = F.length("rendered").cast("long")
+    before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # equal turns are interchangeable, so that any order among them gives the same text
+    head = F.length(F.regexp_replace(F.coalesce("role", F.lit("")), ROLE_MARKS.pattern, r"\\$0")) + len(OPEN) + len(AFTER_ROLE)
+    placed = turns.withColumn("begin", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    learned = F.col("role") == LEARNED_ROLE
+    return placed.withColumn("end", F.col("begin") + size).withColumns(
+        {"loss_begin": F.when(learned, F.col("begin") + head), "loss_end": F.when(learned, F.col("end") - len(CLOSE))}
+    )

@@ -61,3 +61,23 @@ def test_nulls_ties_repeats_and_extra_columns(spark):
 def test_one_conversation_longer_than_a_batch(spark):
     frame = spark.range(25_000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('t', id) text")
     check(chat.format_conversations(frame).collect(), frame.collect())
+
+
+def test_loss_spans_cut_the_learned_texts_out_of_the_formatted_text(spark, small):
+    given_rows = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = [(-1, 0, "user", ROUND_TRIP_TEXT), (-1, 1, "assistant", ROUND_TRIP_TEXT), (-1, None, "assistant", None), (None, 3, "a:b\\#", "x"), (None, 3, "assistant", "é\U0001f600"), (-1, 1, "assistant", ROUND_TRIP_TEXT)]
+    rows = given_rows.unionByName(spark.createDataFrame(hard, given_rows.schema))
+    want = expected(rows.collect())
+    turns = defaultdict(list)
+    for r in chat.loss_spans(chat.format_turns(rows)).collect():
+        turns[r["conv_id"]].append(r)
+    assert turns.keys() == want.keys()
+    for conv_id, found in turns.items():
+        found.sort(key=lambda r: r["begin"])
+        formatted = "".join(r["rendered"] for r in found)
+        assert [r["begin"] for r in found] == [0, *[r["end"] for r in found]][:-1] and found[-1]["end"] == len(formatted)
+        spans = [(r["loss_begin"], r["loss_end"], r) for r in found if r["loss_begin"] is not None]
+        assert all((r["role"] == "assistant") == (r["loss_begin"] is not None) for r in found)
+        learned = [text for role, text in chat.parse(formatted) if role == "assistant"]
+        unescaped = [chat._read(formatted[a:b] + chat.CLOSE, 0, chat.MARK)[0] for a, b, _ in spans]
+        assert unescaped == learned and hashlib.sha256("".join(learned).encode()).hexdigest() == want[conv_id][3]

@@ -1,7 +1,9 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import product
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from netweave.llm import mixing
@@ -73,3 +75,39 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert mixing.mix_by_source(frame.limit(0)).count() == 0
     assert mixing.mix_rows(frame.limit(0), F.array("source")).count() == 0
     assert mixing.mix_by_source(frame.filter("text is null or text = ''")).count() == 2
+
+
+def step_cost(words, capacity):
+    return sum(mixing.COSTS[i // capacity] for i in range(words)) if capacity else 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 2), st.sampled_from([("a",), ("b",), ("a", "b")])), min_size=1, max_size=3), st.integers(0, 7), st.integers(0, 7))
+@settings(max_examples=60, deadline=None)
+def test_flow_is_a_brute_force_optimum(patterns, quota_a, quota_b):
+    """Of all ways to route words the most are moved, and of those at the least cost."""
+    capacity = {f"p{i}": words for i, (words, _) in enumerate(patterns)}
+    members = {f"p{i}": list(names) for i, (_, names) in enumerate(patterns)}
+    quota = {"a": quota_a, "b": quota_b}
+    routes = [(p, s) for p in capacity for s in members[p]]
+    best = None
+    for amounts in product(*[range(3 * capacity[p] + 1) for p, _ in routes]):
+        taken, met = Counter(), Counter()
+        for (p, s), n in zip(routes, amounts):
+            taken[p] += n
+            met[s] += n
+        if all(taken[p] <= 3 * capacity[p] for p in capacity) and all(met[s] <= quota[s] for s in quota):
+            value = (-sum(amounts), sum(step_cost(taken[p], capacity[p]) for p in capacity))
+            best = value if best is None else min(best, value)
+    flow = mixing.min_cost_flow(capacity, quota, members)
+    taken = {p: sum(flow[p, s] for s in members[p]) for p in capacity}
+    assert all(sum(flow[p, s] for p in capacity if s in members[p]) <= quota[s] for s in quota)
+    assert (-sum(flow.values()), sum(step_cost(taken[p], capacity[p]) for p in capacity)) == best
+
+
+def test_rows_without_an_id_have_places_of_their_own(spark):
+    """100 different texts without an id, of which the mix takes a part: about the target, not all or none."""
+    rows = [(None, f"w{i} x y z", "a") for i in range(100)] + [(i, f"v{i} " * 4, "b") for i in range(400)]
+    found = mixing.mix_by_source(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source_size in (400, 1600):
+        own = [r for r in found if r["source_size"] == source_size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4

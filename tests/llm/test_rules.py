@@ -39,6 +39,28 @@ def test_query_agrees_on_every_document(spark, small):
         assert not (row.base_failed and row.kept)
 
 
+def test_kept_is_what_the_rules_say_one_after_the_other(spark, small):
+    documents, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    counts = rules.text_counts(documents).select("*", *[c.alias(k) for k, c in rules.ratios().items()])
+    found = rules.learn_rules(rules.text_counts(documents), labels)
+    assert found
+    kept = {r["doc_id"]: r["kept"] for r in rules.apply_rules(documents, labels).collect()}
+    rejected = 0
+    for r in counts.collect():
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        hit = any(all(r[c.name] >= c.value if c.above else r[c.name] <= c.value for c in rule) for rule in found)
+        assert kept[r["doc_id"]] == (not failed and not hit)
+        rejected += hit and not failed
+    assert rejected or all(any(c.name == "words" for c in rule) for rule in found)
+
+
+def test_very_long_texts_are_counted_whole(spark):
+    text = "word another #\n" * 60_000 + "last one here"
+    (row,) = rules.text_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    want = (180_000 + 3, 60_000 * 12 + 11, 60_000, 59_999)
+    assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"]) == want
+
+
 def test_learned_list_separates_planted_junk(spark):
     generator = np.random.default_rng(5)
     x = np.column_stack([generator.random(600), generator.random(600)])

@@ -12,6 +12,7 @@ from checks.sequences import KEYS
 from netweave.operators import detectors, featurize
 from netweave.operators import serving as sv
 from netweave.operators import training as tr
+from netweave.sources import sinks
 from netweave.sources.deliveries import TopicWriter
 from netweave.sources.models import ModelStore
 from netweave.sources.store import DocumentStore
@@ -182,3 +183,30 @@ def pretty_document_fields(spark, folder):
     fields = F.from_json("document", "familiarity double, is_anomaly boolean, timestamp timestamp")
     cards = sv.document_cards(rows).select("_id", "error", fields.alias("d"), "document").filter(F.instr("document", "\n") > 0)
     return cards.select("_id", "error", r6(F.col("d.familiarity")).alias("familiarity"), "d.is_anomaly", F.col("d.timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+RANGE = ("2024-01-05 06:00:00", "2024-01-12 00:00:00")
+
+
+@query(
+    "stored_time_range",
+    "A14, B20",
+    v.sql(v.PREDICTIONS, f"select _id, timestamp from predictions where timestamp >= timestamp '{RANGE[0]}' and timestamp <= timestamp '{RANGE[1]}'"),
+)
+def stored_time_range(spark, folder):
+    """Documents in day folders, each file a stretch of time; a range reads the days it touches."""
+    path = work_folder(spark, "collection")
+    sinks.write_collection(predictions(spark, folder), path)
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in RANGE)
+    return sinks.read_collection(spark, path, start, end).select("_id", "timestamp")
+
+
+@query(
+    "exported_training_set",
+    "A16",
+    v.sql(v.SCALED, f"select sensor_id, epoch, seq_no, pos, {whole.cells('')} from scaled where is_training"),
+)
+def exported_training_set(spark, folder):
+    path = work_folder(spark, "training-set")
+    sinks.export_training_set(settled_sequences(spark, folder), path)
+    return whole.exploded(spark.read.parquet(path))

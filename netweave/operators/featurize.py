@@ -71,6 +71,10 @@ def malformed_headers(packets: DataFrame) -> DataFrame:
     return packets.filter(F.col("ihl") < MIN_IHL)
 
 
+#: Keys that the packets of one group and day are dealt over in a stream.
+GROUP_SALTS = 8
+
+
 def in_training_window(ts: Column, start: Column, end: Column, requested_at: Column) -> Column:
     """A window that starts in the past counts from the moment it was requested."""
     return F.coalesce((ts >= F.greatest(start, requested_at)) & (ts <= end), F.lit(False))
@@ -134,9 +138,12 @@ def label_training(
 def _label_stream(packets: DataFrame, spans: DataFrame, group: list[str], now: Column) -> DataFrame:
     """Stream rows against windows of any number: disjoint intervals, joined by group and day, so that a row meets one at most.
 
-    The windows are a static side, read again in every micro-batch, so windows added meanwhile count.
+    Packets of one day, and of one busy sensor, are dealt over several keys, as streams have no skew handling; the windows
+    are repeated for each. They are a static side, as known to the files that were listed when the query was built;
+    ``streaming.windows`` has the labeller that lists them anew in every micro-batch.
     """
     day = 86_400_000_000
+    salts = GROUP_SALTS if group else int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = Window.partitionBy(*group).orderBy("_start", "_end")
     reach = F.max("_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     merged = (
@@ -144,9 +151,11 @@ def _label_stream(packets: DataFrame, spans: DataFrame, group: list[str], now: C
         .withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*group, "_island").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"))
         .withColumn("_day", F.explode(F.sequence(F.floor(F.col("_start") / day), F.floor(F.col("_end") / day))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    merged = merged.select(*[F.col(g).alias(f"_window_{g}") for g in group], "_start", "_end", "_day")
-    match = (F.floor(now / day) == F.col("_day")) & (now >= F.col("_start")) & (now <= F.col("_end"))
+    merged = merged.select(*[F.col(g).alias(f"_window_{g}") for g in group], "_start", "_end", "_day", "_salt")
+    salt = F.pmod(F.xxhash64("packet_id"), F.lit(salts)).cast("int")
+    match = (F.floor(now / day) == F.col("_day")) & (salt == F.col("_salt")) & (now >= F.col("_start")) & (now <= F.col("_end"))
     for g in group:
         match = match & packets[g].eqNullSafe(F.col(f"_window_{g}"))
     return packets.join(merged, match, "left").select(*packets.columns, F.col("_start").isNotNull().alias("is_training"))

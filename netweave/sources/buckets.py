@@ -22,16 +22,25 @@ BUCKET = "bucket_of_table"
 
 @dataclass(frozen=True)
 class BucketedTable:
-    """A null key has its bucket like any other. ``buckets`` must stay the same for a folder."""
+    """A null key has its bucket like any other. ``buckets`` must stay the same for a folder.
+
+    A bucket is what a commit rewrites, and it is dealt over ``spread`` tasks: take so many buckets that one is about a
+    gigabyte, and a spread where they grow beyond that.
+    """
 
     path: str
     key: str
     schema: T.StructType
     buckets: int = BUCKETS
+    spread: int = 1
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
 
+    def share(self) -> Column:
+        """Which of the bucket's tasks a key goes to."""
+        return F.pmod(F.xxhash64(F.lit(1), F.col(self.key)), F.lit(self.spread)).cast("int")
+
     def touched(self, rows: DataFrame) -> list[int]:
         """The buckets that rows belong to, at most ``buckets`` numbers."""
         return sorted(r["bucket"] for r in rows.select(self.bucket().alias("bucket")).distinct().collect())
@@ -67,7 +76,7 @@ class BucketedTable:
         """Rows with their bucket, each bucket in one task; rows that have it are taken as dealt."""
         if BUCKET in rows.columns:
             return rows
-        return rows.select(*self.schema.fieldNames(), self.bucket().alias(BUCKET)).repartition(BUCKET)
+        return rows.select(*self.schema.fieldNames(), self.bucket().alias(BUCKET)).repartition(BUCKET, self.share())
 
     def replace(self, rows: DataFrame, commit: int, buckets: list[int]) -> None:
         """Commit ``rows`` as the whole content of ``buckets``; the other buckets stay as they are."""

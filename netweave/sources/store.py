@@ -27,10 +27,11 @@ class DocumentStore:
     path: str
     schema: T.StructType
     buckets: int = BUCKETS
+    spread: int = 1
 
     @property
     def table(self) -> BucketedTable:
-        return BucketedTable(self.path, "_id", self.schema, self.buckets)
+        return BucketedTable(self.path, "_id", self.schema, self.buckets, self.spread)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, names = batch.sparkSession, self.schema.fieldNames()
@@ -40,9 +41,9 @@ class DocumentStore:
             stored = self.table.read(spark, touched, before=batch_id)
             rows = stored.withColumn("_kept", F.lit(1)).unionByName(fresh.withColumn("_kept", F.lit(0)))
             # dealt by bucket once: the aggregate and the writer both keep that
-            dealt = rows.withColumn(BUCKET, self.table.bucket()).repartition(BUCKET)
+            dealt = rows.withColumns({BUCKET: self.table.bucket(), "_share": self.table.share()}).repartition(BUCKET, "_share")
             newest = F.max_by(F.struct(*[n for n in names if n != "_id"]), F.struct("timestamp", "stage_rank", "_kept"))
-            merged = dealt.groupBy(BUCKET, "_id").agg(newest.alias("d")).select(BUCKET, "_id", "d.*").select(*names, BUCKET)
+            merged = dealt.groupBy(BUCKET, "_share", "_id").agg(newest.alias("d")).select(BUCKET, "_id", "d.*").select(*names, BUCKET)
             self.table.replace(merged, batch_id, touched)
         finally:
             fresh.unpersist()

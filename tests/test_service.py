@@ -92,9 +92,10 @@ def test_emptied_buckets_and_old_commits_go(spark, tmp_path):
 # ---------------------------------------------------------------- store
 
 
-def test_store_has_one_document_per_id_without_a_shuffle(spark, small, tmp_path):
+@pytest.mark.parametrize("spread", [1, 5])
+def test_store_has_one_document_per_id_without_a_shuffle(spark, small, tmp_path, spread):
     rows = stage_log(spark, small).unionByName(stage_log(spark, small).limit(3).withColumn("_id", F.lit(None).cast("string")))
-    store = DocumentStore(str(tmp_path), rows.schema, buckets=7)
+    store = DocumentStore(str(tmp_path), rows.schema, buckets=7, spread=spread)
     parts = [rows.filter(F.pmod(F.hash("timestamp"), F.lit(3)) == i) for i in range(3)]
     for number, part in enumerate(parts):
         store(part, number)

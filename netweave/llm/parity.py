@@ -49,8 +49,10 @@ MIN_SHARE = 85
 BAND_RATIO = 1.5
 #: Blocks beyond the pigeonhole's: some, and a share of the differences.
 SLACK, SLACK_SHARE = 2, 0.05
-#: So many bits more than it takes to count all keys: one key in 256 meets another by chance at most.
-SPARE_BITS = 8
+#: So many bits more than it takes to count all keys; they are counted high, so that few keys meet by chance.
+SPARE_BITS = 2
+#: Keys of a set for each of its shingles at most, all bands together: small sets have some blocks beyond their differences.
+KEYS_A_SHINGLE = 10
 BITS_PER_TOKEN = 8
 #: In a short text a single collision is a large share of the bound, so no vector is shorter.
 LEAST_BITS = 4096
@@ -156,49 +158,45 @@ def folded(vectors: np.ndarray, words: int) -> np.ndarray:
 # ---------------------------------------------------------------- per document
 
 
-def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names, sizes, vectors, keys = [], [], [], []
-        for value in batch.column("text"):
-            tokens = shingles(value.as_py())
-            names.append(set_name(tokens) if len(tokens) else None)
-            sizes.append(len(tokens))
-            vectors.append(bit_vector(tokens).tobytes() if len(tokens) else None)
-            keys.append(sum(map(block_count, bands(len(tokens)))) if len(tokens) else 0)
-        columns = [batch.column("doc_id"), *[pa.array(c, t) for c, t in ((names, pa.int64()), (sizes, pa.int64()), (vectors, pa.binary()), (keys, pa.int64()))]]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bits", "n_keys"])
-
-
 def key_bits(keys: int) -> int:
     """Whole bytes, as many as so many keys need."""
     return min(64, -(-(max(keys, 1).bit_length() + SPARE_BITS) // 8) * 8)
 
 
-def _key_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # equal sets met lately in this task give their keys once
-    mask = np.uint64(((1 << bits) - 1) << (64 - bits))
+def _node_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Per document its set's name, size and vector, and the first ``bits`` of its keys, which equal sets met lately give once."""
+    seen: set[int] = set()
     for batch in batches:
-        keys, nodes = [], []
+        names, sizes, vectors, keys = [], [], [], []
         for value in batch.column("text"):
             tokens = shingles(value.as_py())
-            if not len(tokens) or (name := set_name(tokens)) in seen:
+            name = set_name(tokens) if len(tokens) else None
+            names.append(name)
+            sizes.append(len(tokens))
+            vectors.append(bit_vector(tokens).tobytes() if len(tokens) else None)
+            if name is None or name in seen:
+                keys.append(None)
                 continue
             if len(seen) > 200_000:
                 seen.clear()
             seen.add(name)
-            for band in bands(len(tokens)):
-                keys.append(block_keys(tokens, band) & mask)
-                nodes.append(np.full(len(keys[-1]), name, np.int64))
-            if sum(map(len, keys[-2:])) and len(keys) > 512:
-                yield _keys(keys, nodes)
-                keys, nodes = [], []
-        yield _keys(keys, nodes)
+            own = np.concatenate([block_keys(tokens, band) for band in bands(len(tokens))]) >> np.uint64(64 - bits)
+            keys.append(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8].tobytes())
+        columns = [batch.column("doc_id"), *[pa.array(c, t) for c, t in ((names, pa.int64()), (sizes, pa.int64()), (vectors, pa.binary()), (keys, pa.binary()))]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "bits", "keys"])
 
 
-def _keys(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-    k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-    n = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["key", "node"])
+def _key_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    width = bits // 8
+    for batch in batches:
+        packed = [k.as_py() for k in batch.column("keys")]
+        body = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, width)
+        keys = np.zeros((len(body), 8), np.uint8)
+        keys[:, :width] = body
+        nodes = np.repeat(batch.column("node").to_numpy(), [len(k) // width for k in packed])
+        # the bits that are left out stand last, beside the zeros of the row's head
+        own = keys.view("<u8").ravel().astype(np.uint64) << np.uint64(64 - bits)
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(nodes, pa.int64())], ["key", "node"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,13 +383,16 @@ def components(documents: DataFrame) -> DataFrame:
 def _components(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long"), "text")
-    nodes = stored(documents.mapInArrow(_node_batches, "doc_id long, node long, n long, bits binary, n_keys long"), "parity-nodes")
+    # a word has two characters at least with its space, a shingle begins at a word, and bands have at most KEYS_A_SHINGLE keys for it
+    size = documents.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    width = key_bits(KEYS_A_SHINGLE * ((size[0] or 0) // 2 + size[1]))
+    kept = "doc_id long, node long, n long, bits binary, keys binary"
+    nodes = stored(documents.mapInArrow(lambda batches: _node_batches(batches, width), kept), "parity-nodes")
     full = nodes.filter("node is not null")
     bits = full.select("node", "n", F.col("bits").alias("data")).dropDuplicates(["node"])
 
-    width = key_bits(nodes.agg(F.sum("n_keys")).first()[0] or 0)
     by_key = Window.partitionBy("key")
-    keys = documents.select("text").mapInArrow(lambda batches: _key_batches(batches, width), "key long, node long")
+    keys = nodes.filter("keys is not null").select("node", "keys").mapInArrow(lambda batches: _key_batches(batches, width), "key long, node long")
     members = keys.repartition("key").dropDuplicates(["key", "node"]).withColumns({
         "together": F.count(F.lit(1)).over(by_key), "hub": F.min("node").over(by_key),
     }).filter("together > 1")

@@ -106,8 +106,13 @@ def test_unrelated_sets_hardly_meet():
         assert (together * (together - 1) // 2).sum() <= sets // 20
 
 
+def test_sets_have_no_more_keys_than_is_counted_with():
+    for n in [*range(1, 400), 1000, 5000, 50_000, 10**6]:
+        assert sum(map(parity.block_count, parity.bands(n))) <= parity.KEYS_A_SHINGLE * n
+
+
 def test_keys_are_as_wide_as_their_number_asks_for():
-    assert [parity.key_bits(n) for n in (0, 1, 255, 10**6, 33 * 10**6, 2 * 10**9, 10**13, 1 << 62)] == [16, 16, 16, 32, 40, 40, 56, 64]
+    assert [parity.key_bits(n) for n in (0, 1, 255, 10**6, 33 * 10**6, 2 * 10**9, 10**13, 1 << 62)] == [8, 8, 16, 24, 32, 40, 48, 64]
 
 
 def test_steps_are_removed(spark, tmp_path, monkeypatch):

@@ -81,12 +81,17 @@ def find_splits(
     keys = df.select(key.alias("key"))
     if fraction < 1.0:
         keys = keys.sample(fraction=fraction, seed=17)
+    # the sample is sorted in a few tasks, however many pieces there are; each gives every so many-th of its keys
+    tasks = min(pieces, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = max(1, math.ceil(total * fraction / pieces))
     cuts = (
         keys.select("key.*")
-        .repartitionByRange(pieces, *order)
-        .groupBy(F.spark_partition_id().alias("part"))
-        .agg(F.min(F.struct(*order)).alias("key"))
+        .repartitionByRange(tasks, *order)
+        .sortWithinPartitions(*order)
+        .select(F.struct(*order).alias("key"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"))
+        .filter(F.col("place") % every == 0)
         .select("key")
+        .distinct()
     )
     # Spark sorts the cuts, so that nulls and NaN stand where its windows put them
     found = [tuple(row["key"]) for row in cuts.orderBy("key").collect()][1:]

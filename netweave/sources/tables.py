@@ -19,10 +19,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a file with few splits dealt to all cores, before something wide is made of each; others as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+#: Rows of which a task makes wide ones, at most about: a message takes some 4 kB once it is parsed.
+ROWS_PER_TASK = 50_000
+
+
+def spread(rows: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rows of a file with few splits dealt to all cores, and to more tasks where the table is larger, before something
+    wide is made of each; others as they are."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // rows_per_task))
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
 
 
 def _props_number() -> Column:

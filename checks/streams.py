@@ -19,10 +19,10 @@ from checks.catalog import query, r6, s6, work_folder
 from netweave.operators import scoring as sc
 from netweave.operators import serving as sv
 from netweave.schemas import PACKET
-from netweave.sources import captures, topics
+from netweave.sources import captures, files, topics
 from netweave.sources.captures import RECORD_HEADER
 from netweave.sources.models import ModelStore
-from netweave.sources.tables import packets, predictions, raw_messages, stage_log, table
+from netweave.sources.tables import packets, predictions, raw_messages, spread, stage_log, table
 from netweave.streaming import flows
 from netweave.streaming.scoring import ScoringStage
 from netweave.streaming.windows import WindowLabeller
@@ -40,10 +40,17 @@ def timed(rows, *columns):
 
 
 def in_two_runs(rows, column, path, run):
-    """The early rows arrive and the stream runs, then the late ones and it runs again from its checkpoint."""
+    """The early rows arrive and the stream runs, then the late ones and it runs again from its checkpoint.
+
+    Each task of ``rows`` writes a file. ``run`` gets how many files are half of those that are new: two micro-batches,
+    each of which reads its files in parallel.
+    """
+    before = 0
     for part in (F.col(column) < F.lit(CUT).cast("timestamp"), F.col(column) >= F.lit(CUT).cast("timestamp")):
-        rows.filter(part).repartition(2).write.mode("append").parquet(path)
-        run()
+        rows.filter(part).write.mode("append").parquet(path)
+        known = sum(name.endswith(".parquet") for name in files.names(rows.sparkSession, path))
+        run(max(1, -(-(known - before) // 2)))
+        before = known
 
 
 def raw_topic(spark, folder):
@@ -64,8 +71,8 @@ def raw_topic(spark, folder):
 def streamed_routing(spark, folder):
     base = work_folder(spark, "routing")
 
-    def run():
-        routed = flows.route_messages(topics.stream_topic(spark, f"{base}/raw", 1))
+    def run(half):
+        routed = flows.route_messages(topics.stream_topic(spark, f"{base}/raw", half))
         flows.start_files(routed, f"{base}/out", f"{base}/check", "topic").awaitTermination()
 
     in_two_runs(raw_topic(spark, folder), "record_ts", f"{base}/raw", run)
@@ -88,7 +95,7 @@ def streamed_scores(spark, folder):
     stage = ScoringStage(store, f"{base}/out", f"{base}/rejects", version="best", threshold=0.1)
     runs = []
 
-    def run():
+    def run(half):
         if runs:
             store.save(sc.SubspaceModel(np.full(sc.CELLS, 0.6), np.zeros((sc.CELLS, 0))), 0.5, "2024-01-12T00:00:00Z")
         runs.append(flows.start_batches(topics.stream_topic(spark, f"{base}/raw"), stage, f"{base}/check").awaitTermination())
@@ -107,10 +114,10 @@ def streamed_scores(spark, folder):
 )
 def streamed_counters(spark, folder):
     base = work_folder(spark, "counters")
-    log = topics.to_topic(timed(predictions(spark, folder), "timestamp"))
+    log = topics.to_topic(timed(spread(predictions(spark, folder)), "timestamp"))
 
-    def run():
-        counts = flows.counters(topics.stream_topic(spark, f"{base}/in", 1))
+    def run(half):
+        counts = flows.counters(topics.stream_topic(spark, f"{base}/in", half))
         flows.start_batches(counts, flows.replace_table(f"{base}/out"), f"{base}/check", "complete").awaitTermination()
 
     in_two_runs(log, "record_ts", f"{base}/in", run)
@@ -129,9 +136,9 @@ def streamed_counters(spark, folder):
 )
 def streamed_freshness(spark, folder):
     base = work_folder(spark, "freshness")
-    rows = timed(stage_log(spark, folder).select("stage", "timestamp"), "timestamp")
+    rows = timed(spread(stage_log(spark, folder).select("stage", "timestamp")), "timestamp")
 
-    def run():
+    def run(half):
         seen = flows.last_seen(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
         flows.start_batches(seen, flows.replace_table(f"{base}/out"), f"{base}/check", "complete").awaitTermination()
 
@@ -160,7 +167,7 @@ def streamed_windows(spark, folder):
     late = events.filter("event_type = 'signup'").select("ts", F.lit(2).alias("minutes"))
     requested = [early, late]
 
-    def run():
+    def run(half):
         windows = requested.pop(0).select(F.col("ts").alias("start"), (F.col("ts") + F.make_dt_interval(mins=F.col("minutes"))).alias("end"))
         windows.write.mode("append").parquet(f"{base}/windows")
         handler = WindowLabeller(f"{base}/windows", f"{base}/out")
@@ -184,7 +191,7 @@ def streamed_floods(spark, folder):
     """Windows that the watermark, an hour behind the newest packet, has closed."""
     base = work_folder(spark, "floods")
 
-    def run():
+    def run(half):
         floods = flows.udp_flood_stream(topics.stream_packets(spark, f"{base}/in"), "6 hours", 3, "1 hour")
         flows.start_files(floods, f"{base}/out", f"{base}/check").awaitTermination()
 

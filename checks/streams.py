@@ -22,7 +22,7 @@ from netweave.schemas import PACKET
 from netweave.sources import captures, files, topics
 from netweave.sources.captures import RECORD_HEADER
 from netweave.sources.models import ModelStore
-from netweave.sources.tables import packets, predictions, raw_messages, spread, stage_log, table
+from netweave.sources.tables import ROWS_PER_TASK, packets, predictions, raw_messages, spread, stage_log, table
 from netweave.streaming import flows
 from netweave.streaming.scoring import ScoringStage
 from netweave.streaming.windows import WindowLabeller
@@ -252,7 +252,8 @@ def capture_round_trip(spark, folder):
     """Packets written as capture files, and decoded from pieces that begin anywhere."""
     base = work_folder(spark, "captures")
     rows = packets(spark, folder).withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
-    ordered = rows.repartitionByRange(7, "micros").sortWithinPartitions("micros")
+    tasks = max(7, -(-rows.count() // ROWS_PER_TASK))
+    ordered = rows.repartitionByRange(tasks, "micros").sortWithinPartitions("micros")
     ordered.mapInPandas(write_captures(base), "name string").count()
     found = captures.read_captures(spark, base, piece_bytes=RECORD_HEADER * 2000)
     return found.select(F.col("ts").cast("timestamp_ntz").alias("ts"), *FIELDS)

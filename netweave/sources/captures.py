@@ -31,6 +31,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CAPTURE_ENDING = "pcap"
 PIECE_BYTES = 64 * 1024 * 1024
 BATCH = 100_000
+#: Packets are decoded so many bytes at once, about; so many neighbouring pieces go to one task.
+DECODED_BYTES = 16 * 1024 * 1024
+NEIGHBOURS = 64
 
 # Fixed values of the libpcap file format: header sizes, magic numbers with their ticks per second.
 FILE_HEADER, RECORD_HEADER = 24, 16
@@ -156,7 +159,7 @@ def first_record(source: Source, begin: int, end: int, layout: Layout) -> int |
     Places are tried in the order in which array operations over the bytes leave them as possible.
     """
     for block in range(begin, min(end, begin + LONGEST + RECORD_HEADER), 1 << 16):
-        data = source.bytes(block, (1 << 16) + RECORD_HEADER)
+        data = source.bytes(block, min(1 << 16, end - block) + RECORD_HEADER)
         for at in (block + _possible(data, layout)).tolist():
             if at >= end:
                 return None
@@ -177,12 +180,11 @@ def _possible(data: bytes, layout: Layout) -> np.ndarray:
     n = min(len(data) - RECORD_HEADER + 1, 1 << 16)
     if n <= 0:
         return np.zeros(0, np.int64)
-    bytes_ = np.frombuffer(data, np.uint8)
-    number = [0, 0, 0, 0]
-    for k in range(4):
-        parts = [bytes_[4 * k + i : 4 * k + i + n].astype(np.uint32) for i in range(4)]
-        shifts = (0, 8, 16, 24) if layout.order == "<" else (24, 16, 8, 0)
-        number[k] = sum((p << np.uint32(s) for p, s in zip(parts, shifts)), np.zeros(n, np.uint32))
+    every = np.zeros(n + 12, np.uint32)  # the number that begins at each byte
+    for i in range(4):
+        own = every[i::4]
+        own[:] = np.frombuffer(data, layout.order + "u4", len(own), i)
+    number = [every[4 * k : 4 * k + n] for k in range(4)]
     if layout.blocks:
         kinds = [SECTION, INTERFACE, OLD_PACKET, SIMPLE_PACKET, PACKET_BLOCK, *OTHER_BLOCKS]
         fits = np.isin(number[0], np.array(kinds, np.uint32)) & (number[1] % 4 == 0) & (number[1] >= 12)
@@ -196,39 +198,70 @@ def _possible(data: bytes, layout: Layout) -> np.ndarray:
 # ---------------------------------------------------------------- walking
 
 
-def _walk(piece, length: int) -> dict:
+class OpenFile:
+    """The file last asked for and its layout; it stays open while pieces of it follow each other."""
+
+    def __init__(self):
+        self.path, self.file, self.layout = None, None, None
+
+    def of(self, path: str) -> tuple:
+        if path != self.path:
+            self.close()
+            self.path, self.file = path, _open(path)
+            self.layout = layout_of(self.file.read(FILE_HEADER + 4))
+        return self.file, self.layout
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.path, self.file, self.layout = None, None, None
+
+
+def _walk(piece, length: int, opened: OpenFile) -> dict:
     """Walk one piece; ``first`` given starts there, else the piece finds its own start."""
     out = {**{c: getattr(piece, c) for c in ("path", "size", "number", "begin", "end")}, "blocks": []}
-    with _open(piece.path) as file:
-        layout = layout_of(file.read(FILE_HEADER + 4))
-        if layout is None:
-            return out | {"reason": "not_a_capture"}
-        source = Source(file, piece.size, piece.begin, length)
-        given = None if pd.isna(piece.first) else int(piece.first)
-        at, order = given, layout.order if given is None else piece.first_order
-        if given is None:
-            at = layout.start if piece.number == 0 else first_record(source, piece.begin, piece.end, layout)
-        if at is None:
-            return out
-        out |= {"first": at, "first_order": order}
-        while at < piece.end:
-            step = _next_record(source, at, layout, order)
-            if step is None:
-                return out | {"exit": piece.size, "exit_order": order, "broken": at}
-            if layout.blocks and struct.unpack(step[1] + "I", source.bytes(at, 4))[0] in (SECTION, INTERFACE):
-                out["blocks"].append({"at": at, "data": source.bytes(at, step[0] - at)})
-            at, order = step
+    file, layout = opened.of(piece.path)
+    if layout is None:
+        return out | {"reason": "not_a_capture"}
+    source = Source(file, piece.size, piece.begin, length)
+    given = None if pd.isna(piece.first) else int(piece.first)
+    at, order = given, layout.order if given is None else piece.first_order
+    if given is None:
+        at = layout.start if piece.number == 0 else first_record(source, piece.begin, piece.end, layout)
+    if at is None:
+        return out
+    out |= {"first": at, "first_order": order}
+    while at < piece.end:
+        step = _next_record(source, at, layout, order)
+        if step is None:
+            return out | {"exit": piece.size, "exit_order": order, "broken": at}
+        if layout.blocks and struct.unpack(step[1] + "I", source.bytes(at, 4))[0] in (SECTION, INTERFACE):
+            out["blocks"].append({"at": at, "data": source.bytes(at, step[0] - at)})
+        at, order = step
     return out | {"exit": at, "exit_order": order}
 
 
 def _walk_pieces(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in WALKED.split(", ") if not c.startswith("data")]
     whole = ["size", "number", "begin", "end", "first", "exit", "broken"]
+    opened = OpenFile()
     for batch in pieces:
-        rows = [_walk(piece, min(int(piece.end - piece.begin) + 16, 1 << 22)) for piece in batch.itertuples()]
+        rows = [_walk(piece, min(int(piece.end - piece.begin) + 16, 1 << 22), opened) for piece in batch.itertuples()]
         frame = pd.DataFrame(rows, columns=names)
         frame[whole] = frame[whole].astype("Int64")
         yield frame.astype(dict.fromkeys(("path", "reason", "first_order", "exit_order", "blocks"), object))
+    opened.close()
+
+
+def _dealt(pieces: DataFrame, tasks: int) -> DataFrame:
+    """Pieces dealt to so many tasks, which get stretches of neighbours; Spark would put many small rows into few tasks."""
+    return pieces.repartition(tasks, "path", F.floor(F.col("number") / NEIGHBOURS)).sortWithinPartitions("path", "number")
+
+
+def _tasks(files: DataFrame) -> int:
+    """A task for every ``PIECE_BYTES`` of the files, and one for each core at least."""
+    size = files.agg(F.sum("size")).first()[0] or 0
+    return max(files.sparkSession.sparkContext.defaultParallelism, -(-size // PIECE_BYTES))
 
 
 def _expected(walked: DataFrame) -> DataFrame:
@@ -252,7 +285,7 @@ def find_pieces(spark: SparkSession, folder: str, piece_bytes: int = PIECE_BYTES
         "*", (F.col("number") * piece_bytes).alias("begin"), F.least((F.col("number") + 1) * piece_bytes, F.col("size")).alias("end")
     )
     unknown = pieces.withColumns({"first": F.lit(None).cast("long"), "first_order": F.lit(None).cast("string")})
-    walked = settled(unknown.repartition("path", "number").mapInPandas(_walk_pieces, WALKED), "capture-pieces")
+    walked = settled(_dealt(unknown, _tasks(files)).mapInPandas(_walk_pieces, WALKED), "capture-pieces")
     columns = walked.columns
     while True:
         met = _expected(walked)
@@ -328,6 +361,14 @@ class Records:
     ticks: list[int] = field(default_factory=list)
     source: list[Interface | None] = field(default_factory=list)
 
+    def extend(self, other: Records, begin: int) -> None:
+        """Take the other's packets, whose bytes begin at ``begin``."""
+        self.at += other.at
+        self.data += [begin + place for place in other.data]
+        self.captured += other.captured
+        self.ticks += other.ticks
+        self.source += other.source
+
     def add(self, at: int, data: int, captured: int, ticks: int, source: Interface | None) -> None:
         for values, value in zip((self.at, self.data, self.captured, self.ticks, self.source), (at, data, captured, ticks, source)):
             values.append(value)
@@ -428,24 +469,43 @@ def _fields(data: bytes, found: Records) -> dict[str, np.ndarray]:
 def _times(found: Records) -> pd.Series:
     ticks = np.array([max(t, 0) for t in found.ticks], np.uint64)
     micros = np.zeros(len(ticks), np.int64)
-    for own in {id(s): s for s in found.source}.values():
-        here = np.array([s is own for s in found.source])
-        micros[here] = own.micros(ticks[here])
+    kinds: dict[tuple[int, int], int] = {}
+    kind = np.array([kinds.setdefault((s.resolution, s.offset), len(kinds)) for s in found.source])
+    for (resolution, offset), number in kinds.items():
+        here = kind == number
+        micros[here] = Interface(0, 0, resolution, offset).micros(ticks[here])
     times = pd.Series(pd.to_datetime(micros, unit="us", utc=True))
     return times.mask(np.array([t < 0 for t in found.ticks]))
 
 
+def _decoded(held: list[tuple[str, bytes, Records]]) -> pd.DataFrame:
+    """The packets of some stretches of files, with array operations over all of them."""
+    every, paths, begin = Records(), [], 0
+    for path, data, found in held:
+        every.extend(found, begin)
+        paths += [path] * len(found.at)
+        begin += len(data)
+    fixed = {"packet_id": every.at, "sensor_id": paths, "ts": _times(every), "packet_size": np.array(every.captured, np.int32)}
+    frame = pd.DataFrame({**fixed, **_fields(b"".join(data for _, data, _ in held), every)})
+    return frame[PACKET.fieldNames()].astype(dict.fromkeys(("sensor_id", "src_ip", "dst_ip"), object))
+
+
 def _decode_pieces(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = PACKET.fieldNames()
+    opened, held, packets, size = OpenFile(), [], 0, 0
     for batch in pieces:
         for piece in batch.itertuples():
-            with _open(piece.path) as file:
-                layout = layout_of(file.read(FILE_HEADER + 4))
-                file.seek(int(piece.first))
-                data = file.read(int(piece.exit - piece.first))
+            file, layout = opened.of(piece.path)
+            file.seek(int(piece.first))
+            data = file.read(int(piece.exit - piece.first))
             for found in _records(data, piece, layout):
-                fixed = {"packet_id": found.at, "sensor_id": piece.path, "ts": _times(found), "packet_size": np.array(found.captured, np.int32)}
-                yield pd.DataFrame({**fixed, **_fields(data, found)})[names].astype(dict.fromkeys(("sensor_id", "src_ip", "dst_ip"), object))
+                held.append((piece.path, data, found))
+                packets, size = packets + len(found.at), size + len(data)
+                if packets >= BATCH or size >= DECODED_BYTES:
+                    yield _decoded(held)
+                    held, packets, size = [], 0, 0
+    if held:
+        yield _decoded(held)
+    opened.close()
 
 
 # ---------------------------------------------------------------- readers
@@ -453,7 +513,9 @@ def _decode_pieces(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def decode_pieces(pieces: DataFrame) -> DataFrame:
     own = pieces.filter("reason is null and first is not null and first < exit")
-    return own.select("path", "number", "first", "first_order", "exit", "broken", "blocks").repartition("path", "number").mapInPandas(_decode_pieces, PACKET)
+    files = pieces.filter("number = 0").select("path", "size")
+    needed = own.select("path", "number", "first", "first_order", "exit", "broken", "blocks")
+    return _dealt(needed, _tasks(files)).mapInPandas(_decode_pieces, PACKET)
 
 
 def rejected_files(pieces: DataFrame) -> DataFrame:

@@ -29,17 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from netweave.llm.common import fresh_folder, local_fs, stored, write_file
+from netweave.llm.common import fresh_folder, give_back, local_fs, stored, write_file
 
 LEAST, TOP, LONGEST = 30, 2000, 4
 #: A candidate goes if a longer one around it has this share of its count, in hundredths.
 ABSORBED = 80
-#: Characters of text whose windows are added up before they leave a task.
-UNIT_BYTES = 16 << 20
+#: Characters of text whose windows are added up before they leave a task; sorting them takes some 20 times as much memory.
+UNIT_BYTES = 4 << 20
 #: Words in one file of the dictionary, about.
 FILE_WORDS = 1 << 20
 #: Words of the documents that set the borders of the parts, about, and rows of a stretch of sorted windows.
-SAMPLE_WORDS, STRETCH_ROWS = 1 << 20, 1 << 20
+SAMPLE_WORDS, STRETCH_ROWS = 1 << 20, 1 << 19
 
 # What ends a piece; a full stop stands for all of it, as no word has one.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -93,6 +93,7 @@ def count_words(documents: DataFrame, least: int = LEAST) -> DataFrame:
             names = pa.array([None, *(w for w in found if w != BREAK)], pa.string())
             sums = np.concatenate([[counts[real].sum()], counts[real]])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), names, pa.array(sums, pa.int64())], ["lang", "word", "n"])
+        give_back()
 
     rows = _documents(documents).mapInArrow(counted, "lang string, word string, n long")
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("word").isNull() | (F.col("n") >= least))
@@ -250,6 +251,8 @@ def _windows(documents: DataFrame, dictionary: Dictionary, part_of: Callable, ev
             for at in range(0, len(part), 1 << 16):
                 own = [pa.array(c[at : at + (1 << 16)], t) for c, t in zip((part, *columns), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(own, ["part", "first", "second", "n"])
+            del columns, part
+        give_back()
 
     return _documents(documents).mapInArrow(counted, "part int, first long, second long, n long")
 
@@ -315,6 +318,8 @@ def _padded(rows: DataFrame, least: int) -> DataFrame:
                 held, size = [], 0
         if size:
             yield from _as_columns(held)
+        held.clear()
+        give_back()
 
     def _as_columns(held: list) -> Iterator[pa.RecordBatch]:
         first, second, n = pad_rare_tails(*(np.concatenate(c) for c in zip(*held)), least)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,15 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Hand what a worker has freed back to the system, since workers go on to the next step; nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def packed(documents: DataFrame) -> Column:
     """All columns of a row as one struct ``given``, so that no name can meet one of an operator's own."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in documents.columns]).alias("given")

@@ -14,7 +14,8 @@ member first (a star); the links found join members to components, and only then
 different components of a block compared, in tasks of at most ``2 * CHUNK`` members. A task gives a
 spanning forest of its candidates, likeliest first, so fewer pairs than members. Where all of a forest's
 pairs link, any other candidate of the task lies inside a component. The tasks of which a pair did not link
-are done once more with the new components, and give every candidate between different ones. No pair
+are done once more with the new components and those of their members that have a candidate, and give every candidate
+between different ones. No pair
 that could link two components is left out, and copies are never expanded into pairs: equal sets are
 one node, named by a 64-bit hash of the set.
 
@@ -248,7 +249,8 @@ def _hamming_pairs(*members) -> list[tuple[int, int]]:
 
 
 def _forest(sizes: np.ndarray, data: list[bytes], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Candidates that join all labels that candidates connect, none superfluous, those of the least share first."""
+    """Candidates that join all labels that candidates connect, none superfluous, those of the least share first; then
+    each member that has a candidate, beside itself."""
     at = np.unique(label, return_inverse=True)[1].tolist()
     above = list(range(len(at)))  # labels join as the forest grows
 
@@ -273,7 +275,7 @@ def _forest(sizes: np.ndarray, data: list[bytes], label: np.ndarray, left: np.nd
         if x != y:
             above[x] = y
             out.append((i, j))
-    return out
+    return out + [(i, i) for i in np.union1d(a, b).tolist()]
 
 
 def _exact_pairs(sizes: np.ndarray, data: list[bytes], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -288,7 +290,9 @@ def _exact_pairs(sizes: np.ndarray, data: list[bytes], label: np.ndarray, left:
 
 
 def _compare(tasks: DataFrame, payload: DataFrame, test: Callable) -> DataFrame:
-    """Pairs of a task's left and right members that pass. ``tasks``: task, side (0, 1; 2 is both), node, label."""
+    """Pairs of a task's left and right members that pass, and members that the test marks, as pairs with themselves.
+
+    ``tasks``: task, side (0, 1; 2 is both), node, label."""
 
     def one(rows: list[tuple]) -> list[tuple[int, int, int]]:
         side = np.array([r[1] for r in rows])
@@ -296,7 +300,7 @@ def _compare(tasks: DataFrame, payload: DataFrame, test: Callable) -> DataFrame:
         if not len(left) or not len(right):
             return []
         pairs = test(np.array([r[4] for r in rows]), [r[5] for r in rows], np.array([r[3] for r in rows]), left, right)
-        names = {(min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])) for i, j in pairs if rows[i][2] != rows[j][2]}
+        names = {(min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])) for i, j in pairs if i == j or rows[i][2] != rows[j][2]}
         return [(rows[0][0], a, b) for a, b in sorted(names)]
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +416,8 @@ def _components(documents: DataFrame) -> DataFrame:
     )
     tasks = _group_tasks(open_members)
     release(spark, members)
-    forest = stored(_compare(tasks, bits, _forest), "parity-forest")
+    grown = stored(_compare(tasks, bits, _forest), "parity-forest")
+    forest, marked = grown.filter("a != b"), grown.filter("a = b").select("task", F.col("a").alias("node"))
     release(spark)
     tried = near
     if not forest.isEmpty():
@@ -421,11 +426,12 @@ def _components(documents: DataFrame) -> DataFrame:
         release(spark, links, more, labels)
         links, labels = both, connected(both)
         tried = near.unionByName(_distinct(forest)).distinct()
-    # where a pair of the forest does not link, other candidates of its task may still do so
+    # where a pair of the forest does not link, other candidates of its task may still do so; members without any stay out
     failed = forest.join(links, ["a", "b"], "left_anti").select("task").distinct()
-    again = tasks.join(failed, "task", "left_semi").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    met = marked.join(failed, "task", "left_semi")
+    again = tasks.join(met, ["task", "node"], "left_semi").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = stored(_distinct(_compare(again, bits, _hamming_pairs)).join(tried, ["a", "b"], "left_anti"), "parity-rest")
-    release(spark, tasks, forest, near)
+    release(spark, tasks, grown, near)
     if not rest.isEmpty():
         more = _verified(documents, nodes, rest)
         both = stored(links.unionByName(more), "parity-links")

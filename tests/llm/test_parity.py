@@ -134,3 +134,15 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert parity.components(frame.limit(0)).count() == 0
     kept = parity.keep_one(frame)
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [2, 3, 4]
+
+
+def test_members_without_a_candidate_stay_out_of_the_second_comparison():
+    """The second comparison of a task takes the members that the first one has marked."""
+    generator = np.random.default_rng(3)
+    base = np.unique(generator.integers(0, (1 << 64) - 1, 200, dtype=np.uint64))
+    sets = [base, base[2:], np.unique(generator.integers(0, (1 << 64) - 1, 200, dtype=np.uint64)), base[3:]]
+    data = [parity.bit_vector(s).tobytes() for s in sets]
+    every = np.arange(4)
+    pairs = parity._forest(np.array([len(s) for s in sets]), data, np.array([0, 1, 2, 0]), every, every)
+    assert {p for p in pairs if p[0] == p[1]} == {(0, 0), (1, 1), (3, 3)}
+    assert len({p for p in pairs if p[0] != p[1]}) == 1

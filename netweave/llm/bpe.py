@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from netweave.llm.common import file_exists, fresh_folder, mapped_file, write_file
+from netweave.llm.common import file_exists, fresh_folder, give_back, mapped_file, write_file
 
 VOCABULARY = "word_bpe_49k.json"
 #: A cut every so many bytes on average, and none closer than the second number.
@@ -41,7 +41,8 @@ MEAN_CHUNK = 1024
 MIN_CHUNK = 128
 #: Bytes over which the rolling hash looks.
 ROLLING = 32
-UNIT_BYTES = 32 << 20
+#: Texts whose chunks are added up before they leave a task, chunks that are encoded by one task, and rows encoded at once.
+UNIT_BYTES, BUCKET_BYTES, ROWS_AT_ONCE = 12 << 20, 16 << 20, 1000
 #: A worker remembers the words of its last one to two times so many different ones.
 MEMO_WORDS = 150_000
 SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
@@ -237,7 +238,7 @@ def share_chunks(documents: DataFrame, path: str) -> str:
     spark = documents.sparkSession
     folder = fresh_folder(spark, "bpe-chunks")
     size = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // UNIT_BYTES))
+    buckets = max(1, -(-size // BUCKET_BYTES))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = TaskContext.get().partitionId()
@@ -254,6 +255,8 @@ def share_chunks(documents: DataFrame, path: str) -> str:
                     [pa.array([b], pa.int32()), pa.array([split], pa.int32()), pa.array([_pack(dealt[b])], pa.binary())],
                     ["bucket", "split", "packed"],
                 )
+            del texts, dealt
+        give_back()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes]]] = {}
@@ -290,6 +293,8 @@ def share_chunks(documents: DataFrame, path: str) -> str:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([split], pa.int32()), pa.array([packed], pa.binary())], ["split", "packed"]
                 )
+            found = ids = out = None
+        give_back()
 
     def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -334,7 +339,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, with_ids: bo
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, shared = encoder(path), _shared_ids(folder, TaskContext.get().partitionId())
-        for batch in found:
+        for batch in (b.slice(at, ROWS_AT_ONCE) for b in found for at in range(0, b.num_rows, ROWS_AT_ONCE)):
             counts, hashes, decoded, all_ids = [], [], [], []
             for value in batch.column("text"):
                 ids = encode_text(own, (value.as_py() or "").encode(), shared)
@@ -349,5 +354,7 @@ def encode_documents(documents: DataFrame, path: str | None = None, with_ids: bo
                 arrays.append(pa.array(all_ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        shared.clear()
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(batches, schema)

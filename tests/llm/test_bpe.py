@@ -56,3 +56,12 @@ def test_nulls_repeats_empty_and_long_texts(spark):
     rows = bpe.encode_documents(frame, with_ids=True).collect()
     assert found(rows) == sorted(map(plain, texts)) and all(len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
     assert bpe.encode_documents(frame.limit(0)).count() == 0
+
+
+def test_rows_are_encoded_a_few_at_once(spark, monkeypatch):
+    """The ids that a task holds are those of some rows, not of a whole batch of Spark's."""
+    monkeypatch.setattr(bpe, "ROWS_AT_ONCE", 3)
+    sizes = spark.createDataFrame([(k, f"word {k} and more") for k in range(20)], "doc_id long, text string").coalesce(1)
+    seen = bpe.encode_documents(sizes, PATH, with_ids=True)
+    whole = bpe.Encoder(PATH)
+    assert {r["doc_id"]: bytes(r["ids"]) for r in seen.collect()} == {k: whole.whole(f"word {k} and more".encode()) for k in range(20)}

@@ -12,6 +12,7 @@ from checks.sequences import KEYS
 from netweave.operators import detectors, featurize
 from netweave.operators import serving as sv
 from netweave.operators import training as tr
+from netweave.session import settled
 from netweave.sources import sinks
 from netweave.sources.deliveries import TopicWriter
 from netweave.sources.models import ModelStore
@@ -116,7 +117,7 @@ def streamed_sequences(spark, folder):
     target = work_folder(spark, "sequences")
     handler = MicroBatchSequencer(f"{target}/out", f"{target}/state", whole.RULE, buckets=8)
     rows = whole.labelled(spark, folder)
-    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = settled(rows.withColumn("ts", F.col("ts").cast("timestamp")), "labelled")  # made once for the four batches
     for number, batch in enumerate(in_batches(rows, "ts")):
         handler(batch, number)
     handler(batch, number)

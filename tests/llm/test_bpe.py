@@ -65,3 +65,67 @@ def test_rows_are_encoded_a_few_at_once(spark, monkeypatch):
     seen = bpe.encode_documents(sizes, PATH, with_ids=True)
     whole = bpe.Encoder(PATH)
     assert {r["doc_id"]: bytes(r["ids"]) for r in seen.collect()} == {k: whole.whole(f"word {k} and more".encode()) for k in range(20)}
+
+
+class Counted:
+    """The library's tokenizer, and how many stretches it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.given += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_words_are_merged_by_their_pieces():
+    """The library need not read anew every word that differs in case or signs only."""
+    own = bpe.Encoder(PATH)
+    own.tokenizer = Counted(own.tokenizer)
+    text = "Again again, AGAIN. (again) \"Again\"-again again2again _Über über; ÜBER"
+    assert own.ids(text.encode()) == library(text)
+    assert own.tokenizer.given == 0 and {"again", "über"} <= own.pieces.known.keys()
+    assert own.ids("it's again e\u0301 İ <|endoftext|>".encode()) == library("it's again e\u0301 İ <|endoftext|>")
+    assert own.tokenizer.given == 4
+
+
+def library(text):
+    return np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+PARTS = ["a", "The", "É", "ŉ", "Ⱥ", "İ", "ǅ", "×", "²", "ª", "_", "7", "'", "'s", "'LL", "<|", "<|endoftext|>", " ", "\t", "\x1c", "\x1f", "\x7f", "\x85", "\xa0", "\xad", "\u0301", "Σ", "日本", "-", "...", "\x00"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30).map("".join), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_texts_encoded_together_agree_with_the_library(texts):
+    own = bpe.encoder(PATH)
+    ids = bpe.encode_texts(own, [t.encode() for t in texts], {})
+    assert ids == [library(t) for t in texts]
+    read = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.decode(ids) == [LIBRARY.decode(i, skip_special_tokens=False).encode() for i in read]
+
+
+def test_small_units_and_memories_do_not_show(monkeypatch):
+    texts = [" ".join(f"Word{(i * k) % 97}x, {k}é'd" for k in range(300)) for i in range(5)]
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 500)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 10)
+    own = bpe.Encoder(PATH)
+    for _ in range(2):
+        assert bpe.encode_texts(own, [t.encode() for t in texts], {}) == [library(t) for t in texts]
+    assert len(own.pieces.known) < 300
+
+
+def test_another_reader_goes_without_the_quick_one(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        given_vocabulary = json.load(f)
+    given_vocabulary["normalizer"] = None
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(given_vocabulary, f)
+    own, other = bpe.Encoder(path), Tokenizer.from_file(path)
+    assert own.quick is None and bpe.Encoder(PATH).quick is not None
+    text = "Some Words, and some"
+    assert own.ids(text.encode()) == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

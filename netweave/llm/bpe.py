@@ -48,7 +48,7 @@ ROLLING = 32
 #: Texts whose chunks are added up before they leave a task, chunks that are encoded by one task.
 UNIT_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
 #: Rows encoded at once, or so many bytes of their texts, or one longer text; windows that the library reads at once.
-ROWS_AT_ONCE, BYTES_AT_ONCE, WINDOWS_AT_ONCE = 1000, 4 << 20, 1000
+ROWS_AT_ONCE, BYTES_AT_ONCE, WINDOWS_AT_ONCE = 1000, 1 << 19, 200
 #: A worker remembers its last one to two times so many different pieces, and as many words that the library reads, or so many characters of them.
 MEMO_WORDS, MEMO_SIZE = 150_000, 16 << 20
 SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
